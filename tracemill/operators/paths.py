@@ -131,7 +131,8 @@ def path_changes(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
 def path_prevalence(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: share of the most frequent path, path changes over time, distinct paths, that path.
 
-    Among equally frequent paths the lexicographically smallest is the dominant one.
+    Among equally frequent paths the lexicographically smallest is the dominant one. The traces are
+    read twice, so pass a stored table.
     """
     counts = (
         label_traces.select(*keys, path_text().alias("path"))
@@ -143,7 +144,7 @@ def path_prevalence(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count("path").alias("num_paths"),
         F.min_by("path", F.struct(-F.col("c"), F.col("path"))).alias("dominant_path"),
     )
-    changes = path_changes(label_traces, keys)
-    return dominant.join(changes, list(keys)).select(
-        *keys, "prevalence", "num_changes", "num_paths", "dominant_path"
-    )
+    # Both tables have one row per key. Grouping brings these together, a NULL key included.
+    both = dominant.unionByName(path_changes(label_traces, keys), allowMissingColumns=True)
+    columns = ["prevalence", "num_changes", "num_paths", "dominant_path"]
+    return both.groupBy(*keys).agg(*[F.max(name).alias(name) for name in columns])

@@ -76,10 +76,10 @@ def _two_decimals(probability: Column) -> Column:
 
 
 def small_group_points(spark: SparkSession) -> DataFrame:
-    """One row per group size below FULL: size, probs, and per percentile lo, hi and weights.
+    """One row per group size below FULL: size, probs, and per percentile hi, gap and over.
 
-    ``probs[k-1]`` is the probability of the k-th point. A percentile p lies between the points lo and
-    hi: value(lo) + (value(hi) - value(lo)) / gap * over.
+    ``probs[k-1]`` is the probability of the k-th point. A percentile lies between the points hi - 1
+    and hi, ``gap`` apart, ``over`` above the lower one.
     """
     size = F.col("size")
     sizes = spark.range(1, FULL).select(F.col("id").cast("int").alias("size"))
@@ -104,29 +104,27 @@ def small_group_points(spark: SparkSession) -> DataFrame:
     return bracketed.select(
         "size",
         "probs",
-        F.transform("hi", lambda k: k - 1).alias("lo"),
         "hi",
         F.transform("hi", lambda k: at(k) - at(k - 1)).alias("gap"),
         F.zip_with("hi", wanted, lambda k, p: p - at(k - 1)).alias("over"),
     )
 
 
+def _full_probabilities() -> list[float]:
+    """0.01 added up 1 ... FULL times."""
+    out, total = [], 0.0
+    for _ in range(FULL):
+        total += 0.01
+        out.append(total)
+    return out
+
+
 def _reached(rank: Column, n: Column, probability: Column) -> Column:
     """The value at ``rank`` of ``n`` reaches ``probability``."""
     share = rank / n
     return (share >= probability) | (F.abs(share - probability) < TOLERANCE)
 
 
-def _first_reaching(n: Column, probability: Column) -> Column:
-    """Smallest rank that reaches ``probability``; floor() may miss it by one either way."""
-    guess = F.greatest(F.lit(1), F.floor((probability - TOLERANCE) * n))
-    return (
-        F.when(_reached(guess, n, probability), guess)
-        .when(_reached(guess + 1, n, probability), guess + 1)
-        .otherwise(guess + 2)
-    )
-
-
 def _counted(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct values per key with their counts ``c`` and value bucket."""
     value = F.col("value")
@@ -145,32 +143,36 @@ def _ranked(long: DataFrame, keys: Sequence[str], min_count: int | None = None)
     cell = [*keys, "bucket"]
     whole_key = Window.partitionBy(*keys)
     below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
+    heads = (
         counted.groupBy(*cell)
         .agg(F.sum("c").alias("bucket_n"), F.sum(F.col("c") * F.col("value")).alias("bucket_sum"))
         .select(
             *cell,
+            F.lit(0).cast("bigint").alias("c"),
             F.coalesce(F.sum("bucket_n").over(below), F.lit(0)).alias("below"),
             F.sum("bucket_n").over(whole_key).alias("n"),
             F.sum("bucket_sum").over(whole_key).alias("total"),
         )
     )
     if min_count is not None:
-        buckets = buckets.where(F.col("n") >= min_count)
+        heads = heads.where(F.col("n") >= min_count)
+    # The head of a bucket has no value and sorts first, so its values see it without a join.
     upto = (
         Window.partitionBy(*cell)
-        .orderBy("value")
+        .orderBy(F.asc_nulls_first("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = counted.withColumn("upto", F.sum("c").over(upto))
-    return inside.join(buckets, cell).select(
+    head = lambda name: F.first(name).over(upto)
+    ranked = counted.unionByName(heads, allowMissingColumns=True).select(
         *keys,
         "value",
         "c",
-        (F.col("below") + F.col("upto") - F.col("c")).alias("after"),
-        (F.col("below") + F.col("upto")).alias("upto"),
-        "n",
-        (F.col("total") / F.col("n")).alias("avg"),
+        (head("below") + F.sum("c").over(upto)).alias("upto"),
+        head("n").alias("n"),
+        (head("total") / head("n")).alias("avg"),
+    )
+    return ranked.where(F.col("value").isNotNull() & F.col("n").isNotNull()).withColumn(
+        "after", F.col("upto") - F.col("c")
     )
 
 
@@ -188,32 +190,27 @@ def stat6(
     NULL and NaN values do not count. ``min_count`` keeps only groups with that many values.
     """
     groups = [*keys, "metric"]
-    ranked = _with_small_points(_ranked(long, groups, min_count), "lo", "hi")
+    ranked = _with_small_points(_ranked(long, groups, min_count), "hi")
+    n, upto, value = F.col("n"), F.col("upto"), F.col("value")
     full = _full_probabilities()
-    exact = [_first_reaching(F.col("n"), F.lit(full[p - 1])) for p in PERCENTILES]
-    after, upto, value = F.col("after"), F.col("upto"), F.col("value")
-    positions = ranked.withColumns(
-        {
-            f"{side}{i}": F.coalesce(F.get(side, F.lit(i)), rank)
-            for side in ("lo", "hi")
-            for i, rank in enumerate(exact)
-        }
-    )
-    covers = lambda name: (F.col(name) > after) & (F.col(name) <= upto)
-    summary = positions.groupBy(*groups).agg(
+    highs, lows = [], []
+    for i, p in enumerate(PERCENTILES):
+        rank = F.get("hi", F.lit(i))
+        high = F.when(n >= FULL, _reached(upto, n, F.lit(full[p - 1]))).otherwise(upto >= rank)
+        highs.append(F.min(F.when(high, value)).alias(f"high{p}"))
+        lows.append(F.min(F.when((rank > 1) & (upto >= rank - 1), value)).alias(f"low{p}"))
+    distance = value - F.col("avg")
+    summary = ranked.groupBy(*groups).agg(
         F.any_value("n").alias("n"),
         F.any_value("avg").alias("avg"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        F.sum(F.col("c") * (value - F.col("avg")) * (value - F.col("avg"))).alias("squares"),
-        *[
-            F.max(F.when(covers(f"{side}{i}"), value)).alias(f"{side}{i}")
-            for side in ("lo", "hi")
-            for i in range(len(PERCENTILES))
-        ],
+        F.sum(F.col("c") * distance * distance).alias("squares"),
+        *highs,
+        *lows,
     )
     weighted = _with_small_points(summary, "gap", "over")
-    stdev = F.sqrt(F.col("squares") / F.col("n"))
+    stdev = F.sqrt(F.col("squares") / n)
     return weighted.select(
         *groups,
         "n",
@@ -222,34 +219,27 @@ def stat6(
         "avg",
         stdev.alias("stdev"),
         coefficient_of_variation(F.col("avg"), stdev).alias("cv"),
-        *[
-            F.when(F.col("n") >= FULL, F.col(f"hi{i}"))
-            .otherwise(
-                # no value has rank 0: the anchor
-                F.coalesce(F.col(f"lo{i}"), F.lit(0.0))
-                + (F.col(f"hi{i}") - F.coalesce(F.col(f"lo{i}"), F.lit(0.0)))
-                / F.get("gap", F.lit(i))
-                * F.get("over", F.lit(i))
-            )
-            .alias(f"p{p}")
-            for i, p in enumerate(PERCENTILES)
-        ],
+        *[_interpolated(i, p).alias(f"p{p}") for i, p in enumerate(PERCENTILES)],
     )
 
 
-def _full_probabilities() -> list[float]:
-    """0.01 added up 1 ... FULL times."""
-    out, total = [], 0.0
-    for _ in range(FULL):
-        total += 0.01
-        out.append(total)
-    return out
+def _interpolated(i: int, p: int) -> Column:
+    high = F.col(f"high{p}")
+    # Nothing has rank 0: the anchor.
+    low = F.coalesce(F.col(f"low{p}"), F.lit(0.0))
+    between = low + (high - low) / F.get("gap", F.lit(i)) * F.get("over", F.lit(i))
+    return F.when(F.col("n") >= FULL, high).otherwise(between)
 
 
 def as_long(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) -> DataFrame:
-    """One row per metric: keys, metric, value."""
-    wide = df.select(*keys, *[column.cast("double").alias(name) for name, column in metrics.items()])
-    return wide.unpivot(list(keys), list(metrics), "metric", "value")
+    """One row per metric: keys, metric, value.
+
+    stack() and not unpivot(): the exchange above it can then be shared by the two readers in _ranked.
+    """
+    cells = [
+        cell for name, column in metrics.items() for cell in (F.lit(name), column.cast("double"))
+    ]
+    return df.select(*keys, F.stack(F.lit(len(metrics)), *cells).alias("metric", "value"))
 
 
 def as_wide(stats: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -275,22 +265,24 @@ def cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     long = df.select(*keys, F.col(value).cast("double").alias("value"))
     ranked = _with_small_points(_ranked(long, keys), "probs")
     n, after, upto = F.col("n"), F.col("after"), F.col("upto")
-    # Points whose rank lies in (after, upto]; the range is one wider on both sides, then exact.
+    # Points first reached by this value: those near its share of ranks, then exactly.
     lowest = F.greatest(F.lit(1), F.floor(after * FULL / n) - 1)
     highest = F.least(F.lit(FULL), F.ceil(upto * FULL / n) + 1)
-    step = F.lit(0.01)
+    steps = F.lit(_full_probabilities())
+    step = lambda k: F.get(steps, (k - 1).cast("int"))
     full = F.transform(
         F.filter(
             F.sequence(lowest, highest),
-            lambda k: _first_reaching(n, _summed(step, k)).between(after + 1, upto),
+            lambda k: _reached(upto, n, step(k)) & ~((after > 0) & _reached(after, n, step(k))),
         ),
-        lambda k: _two_decimals(_summed(step, k)),
+        lambda k: _two_decimals(step(k)),
     )
     small = F.slice("probs", (after + 1).cast("int"), F.col("c").cast("int"))
     points = ranked.select(
         *keys, F.explode(F.when(n >= FULL, full).otherwise(small)).alias("prob"), "value"
     )
-    anchors = long.where(F.col("value").isNotNull()).select(*keys).distinct()
-    return points.unionByName(
-        anchors.select(*keys, F.lit(0.0).alias("prob"), F.lit(0.0).alias("value"))
+    # The smallest value brings the anchor along.
+    anchors = ranked.where(after == 0).select(
+        *keys, F.lit(0.0).alias("prob"), F.lit(0.0).alias("value")
     )
+    return points.unionByName(anchors)

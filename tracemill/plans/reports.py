@@ -52,7 +52,10 @@ def pair_stats(
     prevalence: bool = True,
     by: Sequence[str] = YEAR,
 ) -> DataFrame:
-    """Per pair: n, statistics of latency, hops and raw hops, and how prevalent its main path is."""
+    """Per pair: n, statistics of latency, hops and raw hops, and how prevalent its main path is.
+
+    The traces are read three times, so pass a stored table.
+    """
     groups = [*by, *keys]
     metrics = {"latency": F.col("e2e"), "hops": F.col("num_hops"), "raw_hops": F.col("raw_hops")}
     stats = stat6(as_long(label_traces, groups, metrics), groups, min_count)

@@ -26,14 +26,19 @@ def traces(
 ) -> DataFrame:
     """One trace per order; ``shift`` is added to every latency, ``daily`` keeps the day of ``ts``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.md5(F.col("l_orderkey").cast("string")).alias("trace_id"),
-        F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-        ).alias("line"),
+    # Spread before grouping: the lines of an order are scattered, so there is nothing to combine first.
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .select(
+            F.col("l_orderkey").cast("string").alias("trace_id"),
+            F.struct(
+                "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
+            ).alias("line"),
+        )
+        .repartition("trace_id")
     )
     orders = table(spark, sf_dir, "orders").select(
-        F.md5(F.col("o_orderkey").cast("string")).alias("trace_id"),
+        F.col("o_orderkey").cast("string").alias("trace_id"),
         F.col("o_custkey").cast("string").alias("region"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"),

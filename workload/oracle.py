@@ -34,7 +34,7 @@ def _hops(shift: str = "0.0") -> str:
     ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 hops AS (
-  SELECT md5(CAST(l_orderkey AS VARCHAR)) AS trace_id, pos, ip, lat, o_orderdate AS day,
+  SELECT CAST(l_orderkey AS VARCHAR) AS trace_id, pos, ip, lat, o_orderdate AS day,
     CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%Y%m') AS month,
     CAST(o_custkey AS VARCHAR) AS region, o_orderstatus AS status, o_orderpriority AS priority,
     last_value(ip) OVER t AS last_ip, last_value(lat) OVER t AS e2e, count(*) OVER t AS raw_hops

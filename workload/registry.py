@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import tracemill as tm
 from tracemill.functions import day_start, day_text, month_text
-from tracemill.session import scratch_path
+from tracemill.session import scratch_path, stored
 from workload import fixture as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def _geoas(spark, sf):
     return _label(spark, sf, "as", "geo")
 
 
+def _geo_stored(spark, sf):
+    return stored(_geo(spark, sf), "label-traces")
+
+
+def _as_stored(spark, sf):
+    return stored(_as(spark, sf), "label-traces")
+
+
 def _on(table: Callable[[SparkSession, str], DataFrame], report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: _rounded(report(table(spark, sf)))
 
@@ -166,7 +174,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hop_indices(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = _labelled(spark, sf)
+    labelled = stored(_labelled(spark, sf), "labelled-hops")
     text = F.array_join(F.col("hop_indices").cast("array<string>"), " ").alias("hop_indices")
     both = [
         tm.compress(labelled, level).select("trace_id", F.lit(level).alias("level"), text)
@@ -176,7 +184,7 @@ def hop_indices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = _labelled(spark, sf)
+    labelled = stored(_labelled(spark, sf), "labelled-hops")
     crossed = [
         tm.compress(labelled, level, end).select(
             "trace_id", F.lit(level).alias("level"), F.lit(end).alias("endpoint"), "src", "dst", "num_hops"
@@ -250,9 +258,9 @@ QUERIES: dict[str, Query] = {
     "hop_dist_label": _on(_as, lambda lt: tm.distribution(lt, "num_hops")),
     "hop_dist_raw": _on(_as, lambda lt: tm.distribution(lt, "raw_hops")),
     "latency_hist": lambda spark, sf: tm.latency_hist(_label(spark, sf, "as", shift=SHIFT - 0.5)),
-    "pair_stats_as": _on(_as, lambda lt: tm.pair_stats(lt, min_count=PAIRS_MIN_COUNT, by=())),
-    "pair_stats_geo": _on(_geo, tm.pair_stats),
-    "pair_stats_geo_all": _on(_geo, lambda lt: tm.pair_stats(lt, by=())),
+    "pair_stats_as": _on(_as_stored, lambda lt: tm.pair_stats(lt, min_count=PAIRS_MIN_COUNT, by=())),
+    "pair_stats_geo": _on(_geo_stored, tm.pair_stats),
+    "pair_stats_geo_all": _on(_geo_stored, lambda lt: tm.pair_stats(lt, by=())),
     "pair_stats_geoas": _on(
         _geoas, lambda lt: tm.pair_stats(lt, ("from_ip", "dst"), prevalence=False)
     ),
@@ -279,7 +287,7 @@ QUERIES: dict[str, Query] = {
     "hop_efficiency": _on(_as, lambda lt: tm.hop_efficiency(lt, ["src", "dst"])),
     "path_efficiency": _on(_geo, lambda lt: tm.path_efficiency(lt, ["src", "dst"])),
     "path_count": _on(_geo, lambda lt: tm.path_efficiency(lt, ["src", "dst"], just_num_paths=True)),
-    "path_prevalence": _on(_geo, lambda lt: tm.path_prevalence(lt, ["src", "dst"])),
+    "path_prevalence": _on(_geo_stored, lambda lt: tm.path_prevalence(lt, ["src", "dst"])),
     "cidr_normalise": lambda spark, sf: tm.normalise_cidr(fx.prefixes(spark, sf)),
     "rollup_slash24": rollup_slash24,
     "rollup_slash24_text": rollup_slash24_text,
