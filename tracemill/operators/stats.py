@@ -6,9 +6,10 @@ there are n, and a percentile is interpolated linearly between neighbouring poin
 being the anchor (0, 0). Steps are added up one by one, and the probability of a point is rounded to two
 decimals, so both are computed here the same way and not as k/n.
 
-A key may hold any share of the rows. Values are therefore counted first (equal values become one row
-before the shuffle), and the counted values of a key are spread over narrow value buckets. Only one row
-per bucket is ever brought together for a whole key, to learn how many values lie below each bucket.
+A key may hold any share of the rows. Values are counted first, so equal values become one row before
+the shuffle, and the values of a hot key are spread over narrow value buckets. Only one row per bucket is
+ever brought together for a whole key, to learn how many values lie below each bucket. The other keys
+have a single bucket.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ STAT3 = ("avg", "stdev", "cv")
 # From this size on a distribution has the fixed number of points.
 FULL = 100
 TOLERANCE = 1e-6
-# Buckets per doubling of (1 + |value|).
+# Buckets of a hot key per doubling of (1 + |value|).
 BUCKETS_PER_DOUBLING = 4096
+# A key is hot from this many rows on; at most HOT_KEYS of them are told to all executors. A key that is
+# neither has fewer rows than that, or holds less than one part in HOT_KEYS of all rows.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
 
 def coefficient_of_variation(avg: Column, stdev: Column) -> Column:
@@ -125,21 +130,42 @@ def _reached(rank: Column, n: Column, probability: Column) -> Column:
     return (share >= probability) | (F.abs(share - probability) < TOLERANCE)
 
 
-def _counted(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _bucketed(long: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Add ``bucket``: 0, or for rows of hot keys one that grows with the value."""
+    hot = (
+        long.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") >= hot_rows)
+        .orderBy(F.desc("_rows"))
+        .limit(HOT_KEYS)
+    )
+    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    marked = long.join(F.broadcast(hot), same, "left")
+    value = F.col("value")
+    # All values of a bucket lie below those of the next.
+    spread = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BUCKETS_PER_DOUBLING)
+    return marked.select(
+        *long.columns, F.when(F.col("_hot"), spread).otherwise(0).alias("bucket")
+    )
+
+
+def _counted(long: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """Distinct values per key with their counts ``c`` and value bucket."""
     value = F.col("value")
-    # Grows with the value, so all values of a bucket lie below those of the next.
-    bucket = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BUCKETS_PER_DOUBLING)
+    present = long.where(value.isNotNull() & ~F.isnan(value))
     return (
-        long.where(value.isNotNull() & ~F.isnan(value))
-        .groupBy(*keys, bucket.alias("bucket"), "value")
+        _bucketed(present, keys, hot_rows)
+        .groupBy(*keys, "bucket", "value")
         .agg(F.count(F.lit(1)).alias("c"))
     )
 
 
-def _ranked(long: DataFrame, keys: Sequence[str], min_count: int | None = None) -> DataFrame:
+def _ranked(
+    long: DataFrame, keys: Sequence[str], hot_rows: int, min_count: int | None = None
+) -> DataFrame:
     """Distinct values with the ranks they cover: keys, value, c, after (exclusive), upto, n, avg."""
-    counted = _counted(long, keys)
+    counted = _counted(long, keys, hot_rows)
     cell = [*keys, "bucket"]
     whole_key = Window.partitionBy(*keys)
     below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,21 +202,26 @@ def _ranked(long: DataFrame, keys: Sequence[str], min_count: int | None = None)
     )
 
 
-def _with_small_points(df: DataFrame, *columns: str) -> DataFrame:
+def _with_points(df: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
     """Attach the points of small groups by ``n``; NULL from FULL on. The table has FULL - 1 rows."""
-    points = small_group_points(df.sparkSession).select("size", *columns)
-    return df.join(F.broadcast(points), F.col("n") == F.col("size"), "left").drop("size")
+    small = F.broadcast(points.select("size", *columns))
+    return df.join(small, F.col("n") == F.col("size"), "left").drop("size")
 
 
 def stat6(
-    long: DataFrame, keys: Sequence[str], min_count: int | None = None
+    long: DataFrame,
+    keys: Sequence[str],
+    min_count: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Statistics of ``value`` per ``keys`` and ``metric``: n, min, max, avg, stdev, cv, p25 ... p99.
 
-    NULL and NaN values do not count. ``min_count`` keeps only groups with that many values.
+    NULL and NaN values do not count. ``min_count`` keeps only groups with that many values. The rows
+    are read twice (once to find hot keys), so pass columns of a stored table.
     """
     groups = [*keys, "metric"]
-    ranked = _with_small_points(_ranked(long, groups, min_count), "hi")
+    points = small_group_points(long.sparkSession)
+    ranked = _with_points(_ranked(long, groups, hot_rows, min_count), points, "hi")
     n, upto, value = F.col("n"), F.col("upto"), F.col("value")
     full = _full_probabilities()
     highs, lows = [], []
@@ -209,7 +240,7 @@ def stat6(
         *highs,
         *lows,
     )
-    weighted = _with_small_points(summary, "gap", "over")
+    weighted = _with_points(summary, points, "gap", "over")
     stdev = F.sqrt(F.col("squares") / n)
     return weighted.select(
         *groups,
@@ -254,16 +285,21 @@ def as_wide(stats: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Da
     )
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per key: n and the six percentiles."""
     long = as_long(df, keys, {"value": F.col(value)})
-    return stat6(long, keys).select(*keys, "n", *[f"p{p}" for p in PERCENTILES])
+    return stat6(long, keys, hot_rows=hot_rows).select(*keys, "n", *[f"p{p}" for p in PERCENTILES])
 
 
-def cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def cdf(
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per key: the points (prob, value) of the empirical distribution, with the anchor (0, 0)."""
     long = df.select(*keys, F.col(value).cast("double").alias("value"))
-    ranked = _with_small_points(_ranked(long, keys), "probs")
+    points = small_group_points(df.sparkSession)
+    ranked = _with_points(_ranked(long, keys, hot_rows), points, "probs")
     n, after, upto = F.col("n"), F.col("after"), F.col("upto")
     # Points first reached by this value: those near its share of ranks, then exactly.
     lowest = F.greatest(F.lit(1), F.floor(after * FULL / n) - 1)
@@ -278,11 +314,11 @@ def cdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         lambda k: _two_decimals(step(k)),
     )
     small = F.slice("probs", (after + 1).cast("int"), F.col("c").cast("int"))
-    points = ranked.select(
+    reached = ranked.select(
         *keys, F.explode(F.when(n >= FULL, full).otherwise(small)).alias("prob"), "value"
     )
     # The smallest value brings the anchor along.
     anchors = ranked.where(after == 0).select(
         *keys, F.lit(0.0).alias("prob"), F.lit(0.0).alias("value")
     )
-    return points.unionByName(anchors)
+    return reached.unionByName(anchors)

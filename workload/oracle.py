@@ -419,3 +419,6 @@ SELECT strftime(day, '%Y%m') AS month, count(*) AS n, {_moments('e2e')} FROM t G
 t AS (SELECT trace_id, any_value(day) AS day, any_value(e2e) AS e2e FROM hops GROUP BY trace_id)
 SELECT strftime(day, '%Y%m%d') AS day, count(*) AS n, {_moments('e2e')} FROM t GROUP BY 1""",
 }
+
+ORACLE["agg_percentiles_hot"] = ORACLE["agg_percentiles"]
+ORACLE["agg_cdf_hot"] = ORACLE["agg_cdf"]

@@ -18,6 +18,8 @@ DECIMALS = 6
 PAIRS_MIN_COUNT = 20
 # Takes latencies below zero, and some of them to zero.
 SHIFT = -25.0
+# Makes the larger geo pairs hot keys.
+HOT_ROWS = 40
 # Variances of whole numbers end in a five now and then, where the last digit of a rounded value would
 # depend on the order of summation; scaled ones do not.
 SCALE = 0.7071067811865476
@@ -61,6 +63,10 @@ def _as_stored(spark, sf):
     return stored(_as(spark, sf), "label-traces")
 
 
+def _geoas_stored(spark, sf):
+    return stored(_geoas(spark, sf), "label-traces")
+
+
 def _on(table: Callable[[SparkSession, str], DataFrame], report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: _rounded(report(table(spark, sf)))
 
@@ -262,7 +268,7 @@ QUERIES: dict[str, Query] = {
     "pair_stats_geo": _on(_geo_stored, tm.pair_stats),
     "pair_stats_geo_all": _on(_geo_stored, lambda lt: tm.pair_stats(lt, by=())),
     "pair_stats_geoas": _on(
-        _geoas, lambda lt: tm.pair_stats(lt, ("from_ip", "dst"), prevalence=False)
+        _geoas_stored, lambda lt: tm.pair_stats(lt, ("from_ip", "dst"), prevalence=False)
     ),
     "src_stats": _on(_as, lambda lt: tm.endpoint_stats(lt, "src")),
     "src_stats_geo": _on(_geo, lambda lt: tm.endpoint_stats(lt, "src")),
@@ -273,16 +279,24 @@ QUERIES: dict[str, Query] = {
     "multihoming": _on(
         _as, lambda lt: tm.multihoming(lt).withColumn("upstream", F.array_join("upstream", " "))
     ),
-    "link_stats": _on(_as, tm.link_stats),
-    "link_stats_geo": _on(_geo, tm.link_stats),
+    "link_stats": _on(_as_stored, tm.link_stats),
+    "link_stats_geo": _on(_geo_stored, tm.link_stats),
     "degree_dist": _on(_as, tm.degree_dist),
-    "edge_stats": lambda spark, sf: _rounded(tm.edge_stats(_label(spark, sf, "as", "geo", SHIFT))),
+    "edge_stats": lambda spark, sf: _rounded(
+        tm.edge_stats(stored(_label(spark, sf, "as", "geo", SHIFT), "label-traces"))
+    ),
     "agg_moments": _on(
         lambda spark, sf: _label(spark, sf, "as", shift=SHIFT),
         lambda lt: tm.moment_table(lt.withColumn("e2e", F.col("e2e") * SCALE), ["year", "src"], "e2e"),
     ),
-    "agg_percentiles": _on(_geo, lambda lt: tm.percentiles(lt, ["src", "dst"], "e2e")),
-    "agg_cdf": _on(_geo, lambda lt: tm.cdf(lt, ["src", "dst"], "e2e")),
+    "agg_percentiles": _on(_geo_stored, lambda lt: tm.percentiles(lt, ["src", "dst"], "e2e")),
+    "agg_cdf": _on(_geo_stored, lambda lt: tm.cdf(lt, ["src", "dst"], "e2e")),
+    "agg_percentiles_hot": _on(
+        _geo_stored, lambda lt: tm.percentiles(lt, ["src", "dst"], "e2e", hot_rows=HOT_ROWS)
+    ),
+    "agg_cdf_hot": _on(
+        _geo_stored, lambda lt: tm.cdf(lt, ["src", "dst"], "e2e", hot_rows=HOT_ROWS)
+    ),
     "agg_corr": _on(_as, lambda lt: tm.correlation(lt, ["year", "src"], "num_hops", "inside_pct")),
     "hop_efficiency": _on(_as, lambda lt: tm.hop_efficiency(lt, ["src", "dst"])),
     "path_efficiency": _on(_geo, lambda lt: tm.path_efficiency(lt, ["src", "dst"])),
