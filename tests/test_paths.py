@@ -43,12 +43,13 @@ def by_key(rows):
     return out
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 50])
-def test_path_prevalence(spark, table, rows, partitions):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1000, 1])
+@pytest.mark.parametrize("partitions", [1, 50])
+def test_path_prevalence(spark, table, rows, partitions, hot_rows):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        got = {r.k: r for r in tm.path_prevalence(table, ["k"]).collect()}
+        got = {r.k: r for r in tm.path_prevalence(table, ["k"], hot_rows).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want = by_key(rows)

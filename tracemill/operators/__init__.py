@@ -21,6 +21,7 @@ from tracemill.operators.stats import (
     moment_table,
     moments,
     percentiles,
+    stat3,
     stat6,
 )
 
@@ -45,5 +46,6 @@ __all__ = [
     "percentiles",
     "rollup_slash24",
     "rollup_time",
+    "stat3",
     "stat6",
 ]

@@ -32,7 +32,7 @@ def floor_lookup(
 
     Both are NULL below the first range start. The map has one row per ``range_start``.
     """
-    if ip_map.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if ip_map.count() <= broadcast_rows:
         return _broadcast_lookup(hops, ip_map)
     return _shuffled_lookup(hops, ip_map)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.operators.stats import HOT_ROWS, hot_keys
+
 
 def path_text(hops: Column | str = "hops") -> Column:
     return F.array_join(hops, "-")
@@ -87,52 +89,58 @@ def path_efficiency(
     )
 
 
-def path_changes(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
+def path_changes(
+    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per key: how often the path differs from the one before, in order of (ts, trace_id).
 
-    The order of a key is cut into stretches: an hour, and inside it first the traces exactly on the
-    hour, by the first characters of trace_id (month-granular data lie there), then the others. Each
-    stretch is a prefix of the sort order, so changes inside stretches and changes between the ends
-    of neighbouring ones add up to the whole.
+    The order of a hot key is cut into stretches: an hour, and inside it first the traces exactly on
+    the hour, by the first characters of trace_id (month-granular data lie there), then the others.
+    A stretch is a contiguous part of the sort order, so changes inside stretches and changes between
+    the ends of neighbouring ones add up to the whole.
     """
+    hot = hot_keys(label_traces, keys, hot_rows)
     hour = F.date_trunc("hour", "ts")
-    on_the_hour = F.concat(F.lit("0"), F.left("trace_id", F.lit(2)))
-    stretch = [*keys, "_hour", "_part"]
+    part = F.when(F.col("ts") == hour, F.concat(F.lit("0"), F.left("trace_id", F.lit(2))))
+    is_hot = F.xxhash64(*keys).isin(hot)
+    cut = (
+        {"_hour": F.when(is_hot, hour), "_part": F.when(is_hot, part.otherwise("1"))} if hot else {}
+    )
     rows = label_traces.select(
         *keys,
-        hour.alias("_hour"),
-        F.when(F.col("ts") == hour, on_the_hour).otherwise("1").alias("_part"),
+        *[column.alias(name) for name, column in cut.items()],
         F.struct("ts", "trace_id").alias("_at"),
         path_text().alias("_path"),
     )
+    stretch = [*keys, *cut]
     before = F.lag("_path").over(Window.partitionBy(*stretch).orderBy("_at"))
     pieces = (
         rows.withColumn("_changed", (F.col("_path") != before).cast("bigint"))
         .groupBy(*stretch)
         .agg(
-            F.sum("_changed").alias("_inside"),
+            F.coalesce(F.sum("_changed"), F.lit(0)).alias("_inside"),
             F.min_by("_path", "_at").alias("_first"),
             F.max_by("_path", "_at").alias("_last"),
         )
     )
+    if not hot:
+        return pieces.select(*keys, F.col("_inside").alias("num_changes"))
     previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_hour", "_part"))
-    between = (F.col("_first") != previous).cast("bigint")
+    between = F.coalesce((F.col("_first") != previous).cast("bigint"), F.lit(0))
     return (
-        pieces.withColumn("_between", between)
+        pieces.withColumn("_both", F.col("_inside") + between)
         .groupBy(*keys)
-        .agg(
-            (F.coalesce(F.sum("_inside"), F.lit(0)) + F.coalesce(F.sum("_between"), F.lit(0))).alias(
-                "num_changes"
-            )
-        )
+        .agg(F.sum("_both").alias("num_changes"))
     )
 
 
-def path_prevalence(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
+def path_prevalence(
+    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per key: share of the most frequent path, path changes over time, distinct paths, that path.
 
     Among equally frequent paths the lexicographically smallest is the dominant one. The traces are
-    read twice, so pass a stored table.
+    read more than once, so pass a stored table.
     """
     counts = (
         label_traces.select(*keys, path_text().alias("path"))
@@ -145,6 +153,6 @@ def path_prevalence(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min_by("path", F.struct(-F.col("c"), F.col("path"))).alias("dominant_path"),
     )
     # Both tables have one row per key. Grouping brings these together, a NULL key included.
-    both = dominant.unionByName(path_changes(label_traces, keys), allowMissingColumns=True)
+    both = dominant.unionByName(path_changes(label_traces, keys, hot_rows), allowMissingColumns=True)
     columns = ["prevalence", "num_changes", "num_paths", "dominant_path"]
     return both.groupBy(*keys).agg(*[F.max(name).alias(name) for name in columns])

@@ -8,8 +8,8 @@ decimals, so both are computed here the same way and not as k/n.
 
 A key may hold any share of the rows. Values are counted first, so equal values become one row before
 the shuffle, and the values of a hot key are spread over narrow value buckets. Only one row per bucket is
-ever brought together for a whole key, to learn how many values lie below each bucket. The other keys
-have a single bucket.
+ever brought together for a whole hot key, to learn how many values lie below each bucket. Which keys are
+spread has no influence on any result, so a sketch finds them.
 """
 
 from __future__ import annotations
@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 
 PERCENTILES = (25, 50, 75, 90, 95, 99)
 STAT6 = ("min", "max", "avg", "stdev", "cv", *[f"p{p}" for p in PERCENTILES])
-STAT3 = ("avg", "stdev", "cv")
 
 # From this size on a distribution has the fixed number of points.
 FULL = 100
 TOLERANCE = 1e-6
 # Buckets of a hot key per doubling of (1 + |value|).
 BUCKETS_PER_DOUBLING = 4096
-# A key is hot from this many rows on; at most HOT_KEYS of them are told to all executors. A key that is
-# neither has fewer rows than that, or holds less than one part in HOT_KEYS of all rows.
+# A key is hot from this many rows on. The sketch surely finds every key with more than about one
+# thousandth of all rows, and names at most HOT_KEYS, however large the data.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+HOT_KEYS = 1000
+TRACKED_KEYS = 4096
 
 
 def coefficient_of_variation(avg: Column, stdev: Column) -> Column:
@@ -60,6 +60,12 @@ def moment_table(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def stat3(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per key: n, avg, stdev, cv."""
+    column = F.col(value)
+    return df.groupBy(*keys).agg(F.count(column).alias("n"), *moments(column))
+
+
 def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Per key: n, population covariance and Pearson's coefficient (NULL without variance)."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -130,34 +136,34 @@ def _reached(rank: Column, n: Column, probability: Column) -> Column:
     return (share >= probability) | (F.abs(share - probability) < TOLERANCE)
 
 
-def _bucketed(long: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Add ``bucket``: 0, or for rows of hot keys one that grows with the value."""
-    hot = (
-        long.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-    )
-    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    marked = long.join(F.broadcast(hot), same, "left")
-    value = F.col("value")
-    # All values of a bucket lie below those of the next.
-    spread = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BUCKETS_PER_DOUBLING)
-    return marked.select(
-        *long.columns, F.when(F.col("_hot"), spread).otherwise(0).alias("bucket")
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
+    """Hashes of the keys with at least ``hot_rows`` rows: never more than HOT_KEYS numbers.
+
+    Runs a job of its own over the key columns, so that every reader of the result sees the same keys.
+    """
+    frequent = F.call_function(
+        "approx_top_k", F.xxhash64(*keys), F.lit(HOT_KEYS), F.lit(TRACKED_KEYS)
     )
+    found = df.agg(frequent.alias("found")).select(F.inline("found"))
+    return [row["item"] for row in found.where(F.col("count") >= hot_rows).collect()]
 
 
-def _counted(long: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Distinct values per key with their counts ``c`` and value bucket."""
-    value = F.col("value")
-    present = long.where(value.isNotNull() & ~F.isnan(value))
-    return (
-        _bucketed(present, keys, hot_rows)
-        .groupBy(*keys, "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("c"))
+def _heads(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row without a value per bucket of a hot key: what lies below it, and the key's totals."""
+    whole_key = Window.partitionBy(*keys)
+    below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        counted.where(F.col("bucket").isNotNull())
+        .groupBy(*keys, "bucket")
+        .agg(F.sum("c").alias("cell_n"), F.sum(F.col("c") * F.col("value")).alias("cell_total"))
+    )
+    return cells.select(
+        *keys,
+        "bucket",
+        F.lit(0).cast("bigint").alias("c"),
+        F.coalesce(F.sum("cell_n").over(below), F.lit(0)).alias("key_below"),
+        F.sum("cell_n").over(whole_key).alias("key_n"),
+        F.sum("cell_total").over(whole_key).alias("key_total"),
     )
 
 
@@ -165,41 +171,35 @@ def _ranked(
     long: DataFrame, keys: Sequence[str], hot_rows: int, min_count: int | None = None
 ) -> DataFrame:
     """Distinct values with the ranks they cover: keys, value, c, after (exclusive), upto, n, avg."""
-    counted = _counted(long, keys, hot_rows)
-    cell = [*keys, "bucket"]
-    whole_key = Window.partitionBy(*keys)
-    below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
-        counted.groupBy(*cell)
-        .agg(F.sum("c").alias("bucket_n"), F.sum(F.col("c") * F.col("value")).alias("bucket_sum"))
-        .select(
-            *cell,
-            F.lit(0).cast("bigint").alias("c"),
-            F.coalesce(F.sum("bucket_n").over(below), F.lit(0)).alias("below"),
-            F.sum("bucket_n").over(whole_key).alias("n"),
-            F.sum("bucket_sum").over(whole_key).alias("total"),
-        )
+    c, value = F.col("c"), F.col("value")
+    present = long.where(value.isNotNull() & ~F.isnan(value))
+    hot = hot_keys(present, keys, hot_rows)
+    # All values of a bucket lie below those of the next.
+    spread = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BUCKETS_PER_DOUBLING)
+    cell = [*keys, "bucket"] if hot else list(keys)
+    if hot:
+        present = present.withColumn("bucket", F.when(F.xxhash64(*keys).isin(hot), spread))
+    counted = present.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("c"))
+
+    whole_cell = Window.partitionBy(*cell)
+    upto = whole_cell.orderBy(F.asc_nulls_first("value")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    ranks, n = F.sum(c).over(upto), F.sum(c).over(whole_cell)
+    total = F.sum(c * value).over(whole_cell)
+    if hot:
+        # The head of a bucket sorts first, so the values of the bucket see it without a join. A bucket
+        # without a head is a whole key.
+        counted = counted.unionByName(_heads(counted, keys), allowMissingColumns=True)
+        head = lambda name: F.first(name).over(upto)
+        ranks = ranks + F.coalesce(head("key_below"), F.lit(0))
+        n, total = F.coalesce(head("key_n"), n), F.coalesce(head("key_total"), total)
+    ranked = counted.select(
+        *keys, "value", "c", ranks.alias("upto"), n.alias("n"), (total / n).alias("avg")
+    ).where(value.isNotNull())
     if min_count is not None:
-        heads = heads.where(F.col("n") >= min_count)
-    # The head of a bucket has no value and sorts first, so its values see it without a join.
-    upto = (
-        Window.partitionBy(*cell)
-        .orderBy(F.asc_nulls_first("value"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    head = lambda name: F.first(name).over(upto)
-    ranked = counted.unionByName(heads, allowMissingColumns=True).select(
-        *keys,
-        "value",
-        "c",
-        (head("below") + F.sum("c").over(upto)).alias("upto"),
-        head("n").alias("n"),
-        (head("total") / head("n")).alias("avg"),
-    )
-    return ranked.where(F.col("value").isNotNull() & F.col("n").isNotNull()).withColumn(
-        "after", F.col("upto") - F.col("c")
-    )
+        ranked = ranked.where(F.col("n") >= min_count)
+    return ranked.withColumn("after", F.col("upto") - c)
 
 
 def _with_points(df: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
@@ -217,7 +217,7 @@ def stat6(
     """Statistics of ``value`` per ``keys`` and ``metric``: n, min, max, avg, stdev, cv, p25 ... p99.
 
     NULL and NaN values do not count. ``min_count`` keeps only groups with that many values. The rows
-    are read twice (once to find hot keys), so pass columns of a stored table.
+    are read again to find hot keys, so pass columns of a stored table.
     """
     groups = [*keys, "metric"]
     points = small_group_points(long.sparkSession)

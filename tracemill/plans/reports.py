@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.paths import links, path_prevalence
-from tracemill.operators.stats import as_long, as_wide, moments, stat6
+from tracemill.operators.stats import HOT_ROWS, as_long, as_wide, moments, stat6
 
 YEAR = ("year",)
 PAIR_METRICS = ("latency", "hops", "raw_hops")
@@ -51,18 +51,19 @@ def pair_stats(
     min_count: int | None = None,
     prevalence: bool = True,
     by: Sequence[str] = YEAR,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per pair: n, statistics of latency, hops and raw hops, and how prevalent its main path is.
 
-    The traces are read three times, so pass a stored table.
+    Each part reads its own columns of the traces, so pass a stored table.
     """
     groups = [*by, *keys]
     metrics = {"latency": F.col("e2e"), "hops": F.col("num_hops"), "raw_hops": F.col("raw_hops")}
-    stats = stat6(as_long(label_traces, groups, metrics), groups, min_count)
+    stats = stat6(as_long(label_traces, groups, metrics), groups, min_count, hot_rows)
     wide = as_wide(stats, groups, PAIR_METRICS)
     if not prevalence:
         return wide
-    return wide.join(path_prevalence(label_traces, groups), groups)
+    return wide.join(path_prevalence(label_traces, groups, hot_rows), groups)
 
 
 def endpoint_stats(label_traces: DataFrame, side: str, by: Sequence[str] = YEAR) -> DataFrame:
@@ -88,11 +89,13 @@ def multihoming(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
     )
 
 
-def link_stats(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
+def link_stats(
+    label_traces: DataFrame, by: Sequence[str] = YEAR, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Per directed link: n and statistics of the latency on it."""
     groups = [*by, "link_src", "link_dst"]
     long = as_long(links(_with_year(label_traces)), groups, {"lat": F.col("lat")})
-    return stat6(long, groups).drop("metric").withColumn(
+    return stat6(long, groups, hot_rows=hot_rows).drop("metric").withColumn(
         "link", F.concat_ws(" ", "link_src", "link_dst")
     )
 
@@ -111,6 +114,7 @@ def edge_stats(
     label_traces: DataFrame,
     keys: Sequence[str] = ("from_ip", "dst"),
     by: Sequence[str] = YEAR,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per pair whose traces all cross a border: the share of first and last segments in the latency.
 
@@ -127,7 +131,8 @@ def edge_stats(
         "inside": F.col("inside_pct"),
         "hops": F.col("num_hops"),
     }
-    wide = as_wide(stat6(as_long(label_traces, groups, metrics), groups), groups, list(metrics))
+    stats = stat6(as_long(label_traces, groups, metrics), groups, hot_rows=hot_rows)
+    wide = as_wide(stats, groups, list(metrics))
     kept = wide.where(F.col("hops_min") > 1)
     return kept.drop(*[name for name in wide.columns if name.startswith("hops_")])
 

@@ -422,3 +422,4 @@ SELECT strftime(day, '%Y%m%d') AS day, count(*) AS n, {_moments('e2e')} FROM t G
 
 ORACLE["agg_percentiles_hot"] = ORACLE["agg_percentiles"]
 ORACLE["agg_cdf_hot"] = ORACLE["agg_cdf"]
+ORACLE["path_prevalence_hot"] = ORACLE["path_prevalence"]

@@ -302,6 +302,9 @@ QUERIES: dict[str, Query] = {
     "path_efficiency": _on(_geo, lambda lt: tm.path_efficiency(lt, ["src", "dst"])),
     "path_count": _on(_geo, lambda lt: tm.path_efficiency(lt, ["src", "dst"], just_num_paths=True)),
     "path_prevalence": _on(_geo_stored, lambda lt: tm.path_prevalence(lt, ["src", "dst"])),
+    "path_prevalence_hot": _on(
+        _geo_stored, lambda lt: tm.path_prevalence(lt, ["src", "dst"], hot_rows=HOT_ROWS)
+    ),
     "cidr_normalise": lambda spark, sf: tm.normalise_cidr(fx.prefixes(spark, sf)),
     "rollup_slash24": rollup_slash24,
     "rollup_slash24_text": rollup_slash24_text,
