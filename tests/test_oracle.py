@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = dict(entry.QUERIES), dict(entry.ORACLE)
 
 
 @pytest.fixture(scope="module")

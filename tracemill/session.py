@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables written by this process and not dropped yet.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is configured (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="tracemill-")
-        context.setCheckpointDir(folder)
-    return folder
+    """The checkpoint folder of the session.
+
+    Where none is set, a session on one machine takes a folder in its warehouse; the setting itself is
+    left alone. A cluster must name one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
-    Cuts the lineage; the files outlive any executor.
+    Cuts the lineage; the files outlive any executor, until ``drop_stored``.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what ``scratch_path`` and ``stored`` have made in this process; returns how many paths.
+
+    Call it when the results that read these tables have been written.
+    """
+    context = spark.sparkContext
+    for path in _written:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    dropped = len(_written)
+    _written.clear()
+    return dropped
