@@ -1,0 +1,26 @@
+"""The registered queries of the operators, and their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracemill.llm.simhash import simhash_groups
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op5_simhash": op5_simhash,
+}
+
+ORACLE_SQL: dict[str, str] = {}
