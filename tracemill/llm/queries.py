@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracemill.llm.simhash import simhash_groups
+from tracemill.llm.substrings import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +21,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
+    "op8_substrings": op8_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
