@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.bpe import decode, encode
 from tracemill.llm.packing import pack_documents
 from tracemill.llm.simhash import simhash_groups
 from tracemill.llm.substrings import dedup_substrings
@@ -22,6 +23,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode(encode(_table(spark, sf_dir, "documents"))).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +44,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
+    "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op8_substrings": op8_substrings,
 }
