@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import decode, encode
 from tracemill.llm.packing import pack_documents
+from tracemill.llm.quality import score_quality
 from tracemill.llm.simhash import simhash_groups
 from tracemill.llm.substrings import dedup_substrings
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
