@@ -28,7 +28,9 @@ FEATURES = (
     "repeats",  # share of words equal to the word before
     "bare_marks",  # share of words without letter or digit
 )
-# Shares are taken to the arc sine of their root, which evens out their variances.
+# Shares are taken to the arc sine of their root, which evens out their variances. Texts of a few words
+# would have extreme shares by chance, so their denominators have some characters or words more.
+MORE_CHARS, MORE_WORDS = 40, 8
 THRESHOLD = 0.7
 POOLED = 0.2  # weight of the pooled covariance in each class
 RIDGE = 0.02  # weight of the mean variance, on the diagonal
@@ -53,8 +55,8 @@ def kind_ranges() -> list[tuple[int, int, int]]:
     return [*runs, (9, 13, BLANK), (32, 32, BLANK)]
 
 
-def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return np.arcsin(np.sqrt(np.minimum(part / np.maximum(whole, 1), 1.0)))
+def _share(part: np.ndarray, whole: np.ndarray, more: int) -> np.ndarray:
+    return np.arcsin(np.sqrt(np.minimum(part / (whole + more), 1.0)))
 
 
 def statistics(texts: list[bytes], table: np.ndarray) -> np.ndarray:
@@ -91,13 +93,13 @@ def statistics(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     chars = letters + digits + marks
     out[:, 0] = np.log1p(words)
     out[:, 1] = np.log1p(chars / np.maximum(words, 1))
-    out[:, 2] = _share(upper, letters)
-    out[:, 3] = _share(marks, chars)
-    out[:, 4] = _share(digits, chars)
+    out[:, 2] = _share(upper, letters, MORE_CHARS)
+    out[:, 3] = _share(marks, chars, MORE_CHARS)
+    out[:, 4] = _share(digits, chars, MORE_CHARS)
     out[:, 5] = np.log1p(distinct) / np.log1p(np.maximum(words, 1))
-    out[:, 6] = _share(top, words)
-    out[:, 7] = _share(np.bincount(owner[1:][again], minlength=count), words)
-    out[:, 8] = _share(np.bincount(owner[bare], minlength=count), words)
+    out[:, 6] = _share(np.maximum(top - 1, 0), words, MORE_WORDS)
+    out[:, 7] = _share(np.bincount(owner[1:][again], minlength=count), words, MORE_WORDS)
+    out[:, 8] = _share(np.bincount(owner[bare], minlength=count), words, MORE_WORDS)
     out[words == 0] = 0
     return out
 
