@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import decode, encode
 from tracemill.llm.packing import pack_documents
+from tracemill.llm.pii import BASE, find_pii, span_text
 from tracemill.llm.quality import score_quality
 from tracemill.llm.simhash import simhash_groups
 from tracemill.llm.substrings import dedup_substrings
@@ -47,12 +48,27 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter(F.col("base"), lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op8_substrings": op8_substrings,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
