@@ -6,18 +6,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.windows import window_hashes, word_hashes, word_spans
+from tracemill.llm.batches import SLICE_BYTES, slices, texts_of
+from tracemill.llm.windows import window_hashes, word_hashes
 
 # A window is this many words.
 WIDTH = 13
-# Windows that meet in one group, on average; the number of groups follows from the text.
-CHARS_A_BUCKET = 12_000_000
-WINDOWS_A_FLUSH = 1_000_000
-FOUND = "doc_id long, hashes binary"
+# Text whose windows meet in one group, on average; the number of groups follows from all text.
+CHARS_A_BUCKET = 6_000_000
+FOUND = "doc_id long, hash long"
+SENT = pa.schema(
+    [("bucket", pa.int64()), ("hashes", pa.binary()), ("ids", pa.binary()), ("found", pa.bool_())]
+)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -29,18 +33,8 @@ def _values(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _by_document(ids: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(ids, kind="stable")
-    ids, hashes = ids[order], hashes[order]
-    cuts = np.flatnonzero(np.diff(ids)) + 1
-    starts = np.concatenate([[0], cuts]).astype(int) if len(ids) else []
-    ends = [*cuts, len(ids)] if len(ids) else []
-    return pd.DataFrame(
-        {
-            "doc_id": ids[starts] if len(ids) else np.empty(0, dtype=np.int64),
-            "hashes": [hashes[a:b].tobytes() for a, b in zip(starts, ends)],
-        }
-    )
+def _found(ids: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": ids, "hash": hashes.view(np.int64)})
 
 
 def _smallest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,16 +53,10 @@ def _ship(width: int, buckets: int):
     very many documents sends one entry per flush and not one per document.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [text.encode() for text in batch["text"]]
-            ids = batch["doc_id"].to_numpy(dtype=np.int64)
-            sizes = np.cumsum([0, *map(len, texts)])
-            at = 0
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 6 * WINDOWS_A_FLUSH)))
-                yield flush(ids[at:end], texts[at:end])
-                at = end
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pandas(flush(ids, texts_of(part, "text")), SENT, preserve_index=False)
 
     def flush(ids: np.ndarray, texts: list[bytes]) -> pd.DataFrame:
         windows, owner = window_hashes(*word_hashes(texts), width)
@@ -94,26 +82,26 @@ def _settle(group: pd.DataFrame) -> pd.DataFrame:
     """Windows of one bucket whose hash has a smaller document in another flush."""
     known, open_ = group[group["found"]], group[~group["found"]]
     out = [
-        _by_document(np.frombuffer(ids, dtype=np.int64), np.frombuffer(hashes, dtype=np.uint64))
+        _found(np.frombuffer(ids, dtype=np.int64), np.frombuffer(hashes, dtype=np.uint64))
         for ids, hashes in zip(known["ids"], known["hashes"])
     ]
     if len(open_):
         hashes = np.concatenate([_values(x) for x in open_["hashes"]])
         ids = np.concatenate([_values(x) for x in open_["ids"]]).view(np.int64)
         hashes, ids, _, low = _smallest(hashes, ids)
-        out.append(_by_document(ids[ids > low], hashes[ids > low]))
+        out.append(_found(ids[ids > low], hashes[ids > low]))
     return pd.concat(out, ignore_index=True)
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, hashes)``: windows of a document that start in a document with a smaller id too.
+    """``(doc_id, hash)``: windows of a document that start in a document with a smaller id too.
 
-    ``docs``: doc_id long, text string. Every window of ``width`` words is hashed. A document may have several
-    rows, of 64-bit hashes; a hash comes from the words alone, so it finds its windows again in the text.
+    ``docs``: doc_id long, text string. Every window of ``width`` words is hashed. A hash of 64 bits comes from
+    the words alone, so it finds its windows again in the text.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-chars // CHARS_A_BUCKET))
-    sent = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(
+    sent = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
         _ship(width, buckets), "bucket long, hashes binary, ids binary, found boolean"
     )
     return sent.groupBy("bucket").applyInPandas(_settle, FOUND)
@@ -136,23 +124,37 @@ def _intervals(mask: np.ndarray) -> list[list[int]]:
 
 
 def _strip(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows = []
-            for packed, lists in zip(batch["packed"], batch["flagged"]):
-                text = unpack.decompress(packed) if packed is not None else b""
-                spans = word_spans(np.frombuffer(text, dtype=np.uint8)) if text else ([], [])
-                words = len(spans[0])
-                if lists is None or not len(lists):
-                    kept, removed, cuts = b" ".join(text.split()), 0, []
-                else:
-                    mask = removed_words(text, np.frombuffer(b"".join(lists), dtype=np.uint64), width)
-                    kept = b" ".join([w for w, gone in zip(text.split(), mask.tolist()) if not gone])
-                    removed, cuts = int(mask.sum()), _intervals(mask)
-                rows.append((words, removed, kept.decode(), cuts))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "removed"])
-            yield pd.concat([batch.drop(columns=["packed", "flagged"]), out], axis=1)
+        for part in slices(batches, "packed", SLICE_BYTES // 4):
+            columns: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "removed": []}
+            flagged = part.column("flagged")
+            hashes, ends = flagged.values.to_numpy(), flagged.offsets.to_numpy()
+            for k, packed in enumerate(part.column("packed")):
+                text = unpack.decompress(packed.as_py()) if packed.is_valid else b""
+                words = text.split()  # splits at \x20 and \x09-\x0D only
+                mask = np.zeros(len(words), dtype=bool)
+                if flagged[k].is_valid:
+                    own = hashes[ends[k] : ends[k + 1]].view(np.uint64)
+                    mask = removed_words(text, own, width)
+                    words = [word for word, gone in zip(words, mask.tolist()) if not gone]
+                columns["n_words"].append(len(mask))
+                columns["n_removed"].append(int(mask.sum()))
+                columns["kept"].append(b" ".join(words))
+                columns["removed"].append(_intervals(mask))
+            kept = pa.array(columns["kept"], pa.binary()).cast(pa.string())
+            cuts = pa.array(columns["removed"], pa.list_(pa.list_(pa.int32())))
+            given = [name for name in part.schema.names if name not in ("packed", "flagged")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[part.column(name) for name in given],
+                    pa.array(columns["n_words"], pa.int64()),
+                    pa.array(columns["n_removed"], pa.int64()),
+                    kept,
+                    cuts,
+                ],
+                [*given, *columns],
+            )
 
     return run
 
@@ -185,21 +187,17 @@ def dedup_substrings(
     flagged = (
         repeated_windows(given.select("doc_id", F.col("__text").alias("text")), width)
         .groupBy("doc_id")
-        .agg(F.collect_list("hashes").alias("flagged"))
+        .agg(F.collect_list("hash").alias("flagged"))
     )
     # Texts cross the network compressed, next to the hashes found for them.
     packed = given.withColumn("packed", _packed("__text")).drop("__text")
     met = packed.join(flagged, "doc_id", "left")
     types = {field.name: field.dataType.simpleString() for field in given.schema.fields}
-    # Ids travel as text: a NULL among them would turn the pandas column to doubles.
     schema = ", ".join(
         [
-            "doc_id string",
+            "doc_id long",
             *[f"`{name}` {types[name]}" for name in extra],
             "n_words long, n_removed long, kept string, removed array<array<int>>",
         ]
     )
-    out = met.select(F.col("doc_id").cast("string"), *extra, "packed", "flagged").mapInPandas(
-        _strip(width), schema
-    )
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return met.select("doc_id", *extra, "packed", "flagged").mapInArrow(_strip(width), schema)

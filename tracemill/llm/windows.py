@@ -11,7 +11,7 @@ WORD[[0x20, *range(0x09, 0x0E)]] = False
 # Odd, so invertible: dividing by a power is multiplying by a power of the inverse.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def powers(base: int, count: int) -> np.ndarray:
