@@ -6,11 +6,12 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import slices, texts_of
 from tracemill.llm.pretokens import boundaries, class_ranges, class_table, classes
 from tracemill.llm.vocabulary import ranks
 
@@ -18,9 +19,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int64(2**40)
 # Words up to this many bytes are merged side by side, longer ones with a heap.
 SHORT_WORD = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 # A full cache is emptied; its size bounds memory only.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 class Merger:
@@ -151,19 +152,6 @@ def encode_texts(texts: list[str], table: np.ndarray, merger: Merger) -> list[by
     return [b"".join(ids[a:b]) for a, b in zip(starts, last.tolist())]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    chunk: list[str] = []
-    size = 0
-    for text in texts:
-        chunk.append(text)
-        size += len(text)
-        if size >= CHUNK:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
-
-
 def _token_lengths(vocabulary: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
     tokens = [token for token, _ in sorted(vocabulary.items(), key=lambda item: item[1])]
     if list(range(len(tokens))) != sorted(vocabulary.values()):
@@ -181,45 +169,41 @@ def encode(docs: DataFrame, path: str = "", id_col: str = "doc_id", text_col: st
     path = path or public_tokenizers.path(VOCABULARY)
     ranges = class_ranges()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = ranks(path)
         merger, table = Merger(vocabulary), class_table(ranges)
         lengths = _token_lengths(vocabulary)[1]
-        for batch in batches:
-            done = 0
-            for texts in _chunks(batch["text"].tolist()):
-                ids = encode_texts(texts, table, merger)
-                ends = [np.cumsum(lengths[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
-                names = batch["doc_id"].iloc[done : done + len(texts)].to_numpy()
-                done += len(texts)
-                yield pd.DataFrame(
-                    {"doc_id": names, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "ends": ends}
-                )
-
-    # Ids travel as text: a NULL among them would turn the pandas column to doubles.
-    texts = docs.select(
-        F.col(id_col).cast("string").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")
-    )
-    coded = texts.mapInPandas(run, "doc_id string, n_tokens long, ids binary, ends binary")
-    return coded.withColumn("doc_id", F.col("doc_id").cast("long"))
+        for part in slices(batches, "text", CHUNK):
+            ids = encode_texts([text.decode() for text in texts_of(part, "text")], table, merger)
+            ends = [np.cumsum(lengths[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
+            columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, (ids, ends))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids", "ends"]
+            )
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ends binary")
 
 
 def decode(coded: DataFrame, path: str = "") -> DataFrame:
     """Add ``decoded``, the bytes of the ids; replaces a column of that name. No ids give no bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    @F.pandas_udf("binary")
-    def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, lengths = _token_lengths(ranks(path))
         arena = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        for ids, ends in batches:
+        for part in slices(batches, "ids", CHUNK):
             out = []
-            for some, stops in zip(ids, ends):
+            for some, stops in zip(part.column("ids").to_pylist(), part.column("ends").to_pylist()):
                 some, stops = np.frombuffer(some, "<u4"), np.frombuffer(stops, "<u4").astype(np.int64)
                 size = lengths[some]
                 shift = np.repeat(begin[some] - (stops - size), size)
                 out.append(arena[shift + np.arange(len(shift))].tobytes())
-            yield pd.Series(out, dtype=object)
+            kept = [name for name in part.schema.names if name != "decoded"]
+            yield pa.RecordBatch.from_arrays(
+                [*map(part.column, kept), pa.array(out, pa.binary())], [*kept, "decoded"]
+            )
 
-    return coded.withColumn("decoded", text_of("ids", "ends"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name != "decoded")
+    return coded.mapInArrow(run, f"{kept}, decoded binary")
