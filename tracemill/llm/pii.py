@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,38 +45,37 @@ ROUNDS = 60
 SURE = 0.9
 
 SPAN = "array<struct<start:bigint,stop:bigint,value:string>>"
-CANDIDATE = ", ".join(
-    [
-        "kind:string, start:bigint, stop:bigint",
-        *[f"{name}:int" for name in LABELERS],
-        *[f"f_{name}:string" for name in FEATURES],
-    ]
-)
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def matches(text: Column, pattern: str, worth: Column) -> Column:
     """All matches with code point positions, from the lengths of the matches and the gaps between them."""
-    regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.char_length(gap))
     steps = F.zip_with(
-        found, F.slice(gaps, 1, F.size(found)), lambda value, gap: F.struct(value.alias("value"), gap.alias("gap"))
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        F.split(text, pattern, -1),
+        lambda value, gap: F.struct(
+            value.alias("value"), F.char_length(gap).alias("gap"), F.char_length(value).alias("size")
+        ),
     )
-    start = lambda acc, step: acc["at"] + step["gap"]
-    stop = lambda acc, step: start(acc, step) + F.char_length(step["value"])
     spans = F.aggregate(
-        steps,
+        F.filter(steps, lambda step: step["value"].isNotNull()),  # the last gap has no match after it
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, step: F.struct(
-            stop(acc, step).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        start(acc, step).alias("start"), stop(acc, step).alias("stop"), step["value"].alias("value")
-                    )
-                ),
-            ).alias("spans"),
+        lambda acc, step: let(
+            acc["at"] + step["gap"],
+            lambda start: F.struct(
+                (start + step["size"]).alias("at"),
+                F.concat(
+                    acc["spans"],
+                    F.array(
+                        F.struct(
+                            start.alias("start"), (start + step["size"]).alias("stop"), step["value"].alias("value")
+                        )
+                    ),
+                ).alias("spans"),
+            ),
         ),
     )["spans"]
     return F.when(worth, spans).otherwise(F.array().cast(SPAN))
@@ -129,19 +128,28 @@ def _class(char: Column) -> Column:
 
 
 def _candidate(text: Column, kind: str, span: Column) -> Column:
-    value, start, stop = span["value"], span["start"], span["stop"]
+    start, stop = span["start"], span["stop"]
     lead = F.least(F.lit(NEAR).cast("bigint"), start)
-    before = F.lower(F.substring(text, (start - lead + 1).cast("int"), lead.cast("int")))
-    last = F.when(start > 0, F.substring(text, start.cast("int"), F.lit(1))).otherwise("")
-    after = F.substring(text, (stop + 1).cast("int"), F.lit(1))
+    around = F.struct(
+        span["value"].alias("value"),
+        F.substring(text, (start - lead + 1).cast("int"), lead.cast("int")).alias("before"),
+        F.substring(text, (stop + 1).cast("int"), F.lit(1)).alias("after"),
+    )
+    return let(around, lambda near: _judged(kind, span, near))
+
+
+def _judged(kind: str, span: Column, near: Column) -> Column:
+    value, before = near["value"], F.lower(near["before"])
     size = F.char_length(value)
     digits = F.char_length(_digits(value)) / size
     upper, lower = F.rlike(value, F.lit("[A-Z]")), F.rlike(value, F.lit("[a-z]"))
-    joined = F.rlike(value, F.lit("^[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{1,4}$"))  # chapter-12, version_3
     if kind == "secret":
         form = _vote(
-            F.rlike(value, F.lit("^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|(?:AKIA|ASIA)[0-9A-Z]{16}|[a-z]{2,4}_[A-Za-z0-9]{20,})$")),
-            joined,
+            F.rlike(
+                value,
+                F.lit("^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|(?:AKIA|ASIA)[0-9A-Z]{16}|[a-z]{2,4}_[A-Za-z0-9]{20,})$"),
+            ),
+            F.rlike(value, F.lit("^[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{1,4}$")),  # chapter-12, version_3
         )
         context = _vote(F.rlike(before, F.lit("""[=:]\\s*["'`]?$""")), F.rlike(before, F.lit(r"https?://\S*$")))
         plain = _vote((digits > 0.15) & (size >= 16), F.rlike(value, F.lit("[A-Za-z]{10,}")) | (digits < 0.08))
@@ -156,13 +164,13 @@ def _candidate(text: Column, kind: str, span: Column) -> Column:
         "length": _step(size, 16, 20, 32, 41, 65),
         "digits": _step(digits, 0.1, 0.25, 0.5, 0.8),
         "letters": F.when(upper & lower, "mixed").when(upper, "upper").when(lower, "lower").otherwise("none"),
-        "before": _class(last),
-        "after": _class(after),
+        "before": _class(F.right(near["before"], F.lit(1))),
+        "after": _class(near["after"]),
     }
     return F.struct(
         F.lit(kind).alias("kind"),
-        start.alias("start"),
-        stop.alias("stop"),
+        span["start"].alias("start"),
+        span["stop"].alias("stop"),
         *[vote.cast("int").alias(name) for name, vote in votes.items()],
         *[value.alias(f"f_{name}") for name, value in features.items()],
     )
@@ -174,24 +182,23 @@ def detect(docs: DataFrame, text_col: str, into: str = "found") -> DataFrame:
     Candidates that touch a base span are left out. A NULL text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    first = docs.withColumn(into, F.struct(*[spans.alias(kind) for kind, spans in base_spans(text).items()]))
-    taken = F.concat(*[F.col(f"{into}.{kind}") for kind in BASE])
-    digit = F.rlike(text, F.lit("[0-9]"))
+    base = F.struct(*[spans.alias(kind) for kind, spans in base_spans(text).items()])
+    patterns = {"secret": SECRET, "phone_local": LOCAL}
 
-    def of(kind: str, pattern: str) -> Column:
+    def of(kind: str, taken: Column) -> Column:
         free = F.filter(
-            matches(text, pattern, digit),
+            matches(text, patterns[kind], F.rlike(text, F.lit("[0-9]"))),
             lambda s: ~F.exists(taken, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
         )
         if kind == "secret":
             free = F.filter(free, lambda s: F.rlike(s["value"], F.lit("[A-Za-z]")))
         return F.transform(free, lambda s: _candidate(text, kind, s))
 
-    candidates = F.concat(of("secret", SECRET), of("phone_local", LOCAL))
-    return first.withColumn(
-        into,
-        F.struct(*[F.col(f"{into}.{kind}").alias(kind) for kind in BASE], candidates.alias("candidates")),
-    )
+    def whole(b: Column) -> Column:
+        candidates = let(F.concat(*[b[kind] for kind in BASE]), lambda t: F.concat(*[of(k, t) for k in ADDED]))
+        return F.struct(*[b[kind].alias(kind) for kind in BASE], candidates.alias("candidates"))
+
+    return docs.withColumn(into, let(base, whole))
 
 
 # --- learning ----------------------------------------------------------------------------------------------
@@ -300,23 +307,26 @@ def span_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by ``[KIND]``; spans that overlap become one, named by the first."""
-    ordered = F.array_sort(spans, lambda a, b: (a["start"] - b["start"]).cast("int"))
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-    whole = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], piece(acc["at"], F.char_length(text).cast("bigint"))),
-    )
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+    def replaced(found: Column) -> Column:
+        whole = F.aggregate(
+            F.array_sort(found, lambda a, b: (a["start"] - b["start"]).cast("int")),
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["stop"]).alias("at"),
+                F.when(
+                    s["start"] >= acc["at"],
+                    F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")),
+                )
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+            lambda acc: F.concat(acc["out"], piece(acc["at"], F.char_length(text).cast("bigint"))),
+        )
+        return F.when(F.size(found) > 0, whole).otherwise(text)
+
+    return let(spans, replaced)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
