@@ -13,6 +13,7 @@ from tracemill.llm.pii import BASE, find_pii, span_text
 from tracemill.llm.quality import score_quality
 from tracemill.llm.simhash import simhash_groups
 from tracemill.llm.substrings import dedup_substrings
+from tracemill.llm.vptree import nearest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_vptree": op1_vptree,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
