@@ -13,6 +13,7 @@ from tracemill.llm.pii import BASE, find_pii, span_text
 from tracemill.llm.quality import score_quality
 from tracemill.llm.simhash import simhash_groups
 from tracemill.llm.substrings import dedup_substrings
+from tracemill.llm.tiles import embedding_groups
 from tracemill.llm.vptree import nearest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op7_tiles": op7_tiles,
     "op8_substrings": op8_substrings,
     "op10_pii": op10_pii,
 }
