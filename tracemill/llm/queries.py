@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import decode, encode
+from tracemill.llm.fixity import audit, damaged, warc_records
 from tracemill.llm.packing import pack_documents
 from tracemill.llm.pii import BASE, find_pii, span_text
 from tracemill.llm.quality import score_quality
 from tracemill.llm.simhash import simhash_groups
 from tracemill.llm.substrings import dedup_substrings
 from tracemill.llm.tiles import embedding_groups
+from tracemill.llm.token_files import document_tokens
 from tracemill.llm.vptree import nearest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +50,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op7_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +64,12 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as records of an archive, against a replica in which some are damaged."""
+    pages = _table(spark, sf_dir, "pages")
+    return audit(warc_records(pages), warc_records(damaged(pages)))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents"))
 
@@ -78,9 +90,41 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_tokens": op6_tokens,
     "op7_tiles": op7_tiles,
     "op8_substrings": op8_substrings,
+    "op9_fixity": op9_fixity,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_fixity": """
+        WITH copies AS (
+            SELECT 1 AS replica, page_id, url, html FROM pages
+            UNION ALL
+            SELECT 2, page_id, url, CASE page_id % 97
+                WHEN 1 THEN left(html, length(html) // 2) || '~' || substr(html, length(html) // 2 + 2)
+                WHEN 2 THEN left(html, length(html) - 1)
+                ELSE html END
+            FROM pages WHERE page_id % 97 <> 3
+        ), records AS (
+            SELECT replica, page_id, 'WARC/1.0' || chr(13) || chr(10)
+                || 'WARC-Type: response' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM copies WHERE page_id IS NOT NULL
+        ), placed AS (
+            SELECT replica, page_id, page_id // 4096 AS file, strlen(record) AS length, sha256(record) AS digest,
+                (sum(strlen(record)) OVER (PARTITION BY replica, page_id // 4096 ORDER BY page_id) - strlen(record))::BIGINT
+                    AS "offset"
+            FROM records
+        )
+        SELECT coalesce(a.page_id, b.page_id) AS record_key, coalesce(a.file, b.file) AS file, a."offset" AS "offset",
+            a.length AS length, a.digest AS digest, b."offset" AS offset_2, b.length AS length_2, b.digest AS digest_2,
+            CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
+        FROM (SELECT * FROM placed WHERE replica = 1) a
+        FULL JOIN (SELECT * FROM placed WHERE replica = 2) b ON a.page_id = b.page_id
+        WHERE a.digest IS DISTINCT FROM b.digest
+    """,
+}
