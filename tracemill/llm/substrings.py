@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.llm.batches import SLICE_BYTES, slices, texts_of
 from tracemill.llm.windows import window_hashes, word_hashes
@@ -159,7 +160,7 @@ def _strip(width: int):
     return run
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(texts: pd.Series) -> pd.Series:
     pack = zstandard.ZstdCompressor(level=3)
     return texts.map(lambda text: None if text is None else pack.compress(text.encode()))
