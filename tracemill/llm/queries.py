@@ -67,7 +67,9 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as records of an archive, against a replica in which some are damaged."""
     pages = _table(spark, sf_dir, "pages")
-    return audit(warc_records(pages), warc_records(damaged(pages)))
+    found = audit(warc_records(pages), warc_records(damaged(pages)))
+    # -1 and the empty text stand for a record that is not there
+    return found.fillna(-1).fillna("")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +122,9 @@ ORACLE_SQL: dict[str, str] = {
                     AS "offset"
             FROM records
         )
-        SELECT coalesce(a.page_id, b.page_id) AS record_key, coalesce(a.file, b.file) AS file, a."offset" AS "offset",
-            a.length AS length, a.digest AS digest, b."offset" AS offset_2, b.length AS length_2, b.digest AS digest_2,
+        SELECT coalesce(a.page_id, b.page_id) AS record_key, coalesce(a.file, b.file) AS file,
+            coalesce(a."offset", -1) AS "offset", coalesce(a.length, -1) AS length, coalesce(a.digest, '') AS digest,
+            coalesce(b."offset", -1) AS offset_2, coalesce(b.length, -1) AS length_2, coalesce(b.digest, '') AS digest_2,
             CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
         FROM (SELECT * FROM placed WHERE replica = 1) a
         FULL JOIN (SELECT * FROM placed WHERE replica = 2) b ON a.page_id = b.page_id
