@@ -104,14 +104,19 @@ def statistics(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _table(ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    table = np.zeros(0x110000, dtype=np.uint8)
+    for first, last, kind in ranges:
+        table[first : last + 1] = kind
+    return table
+
+
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and one double for each of FEATURES, over whole texts."""
     ranges = kind_ranges()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(0x110000, dtype=np.uint8)
-        for first, last, kind in ranges:
-            table[first : last + 1] = kind
+        table = _table(ranges)
         for part in slices(batches, "text"):
             rows = statistics(texts_of(part, "text"), table)
             yield pa.RecordBatch.from_arrays(
@@ -224,3 +229,26 @@ def score_quality(
 
     scored = stats.select("doc_id", held_out().alias("held_out"), score(*FEATURES).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns.
+
+    Scores are those of ``score_quality``. The texts are read twice, to learn and to judge, and never shuffled.
+    """
+    model = learn(text_statistics(docs, id_col, text_col), labels)
+    ranges, place = kind_ranges(), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(ranges)
+        for part in slices(batches, text_col):
+            scores = model.scores(statistics(texts_of(part, part.schema.names[place]), table))
+            yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,11 +7,12 @@ from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.llm.batches import slices, texts_of
 from tracemill.llm.components import components
 from tracemill.session import stored
 
@@ -22,9 +23,9 @@ BLOCK = 8192
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 majority bits over the hashes of all shingles, repeats included; 0 without words."""
-    words = (text or "").encode().translate(LOWER).split()  # splits at \x20 and \x09-\x0D only
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Of a UTF-8 text, 64 majority bits over the hashes of all shingles, repeats included; 0 without words."""
+    words = text.translate(LOWER).split()  # splits at \x20 and \x09-\x0D only
     if not words:
         return 0
     runs = [words[i:] for i in range(min(shingle, len(words)))]
@@ -44,15 +45,15 @@ def fingerprints(
 ) -> DataFrame:
     """``(doc_id, fp)`` of every row; a NULL text has fingerprint 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = [fingerprint(text, shingle) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": np.array(prints, dtype=np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            prints = [fingerprint(text, shingle) for text in texts_of(part, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"]
+            )
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # An id that is NULL would turn the pandas column to doubles; it travels as text.
-    texts = given.select(F.col("doc_id").cast("string"), "text")
-    return texts.mapInPandas(run, "doc_id string, fp long").select(F.col("doc_id").cast("long"), "fp")
+    return given.mapInArrow(run, "doc_id long, fp long")
 
 
 def _ball(fp: Column, radius: int) -> Column:
