@@ -46,6 +46,10 @@ def test_analysis(spark, labelled, tmp_path, kind):
     total = fx.traces(spark, SF_DIR).where(F.col("year").isin(*YEARS) & (F.col("status") != "P")).count()
     for name, report in paths.items():
         df = spark.read.parquet(report)
+        if name == "coverage":  # counts the years without a report as well
+            assert {r.year for r in df.where("reported").collect()} == set(YEARS)
+            assert df.where("NOT reported").agg(F.sum("n")).first()[0] > 0
+            df = df.where("reported")
         assert {r.year for r in df.select("year").distinct().collect()} <= set(YEARS)
         assert {r.dataset for r in df.select("dataset").distinct().collect()} == {"ARK"}
         if name in ("coverage", "hop_dist", "srcs_stats", "dsts_stats"):

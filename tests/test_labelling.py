@@ -1,4 +1,5 @@
 import bisect
+import itertools
 import random
 
 import pytest
@@ -29,21 +30,19 @@ def ip_map(spark, rows=None):
     return spark.createDataFrame(rows or IP_MAP, "range_start bigint, as_no string, geo string")
 
 
-def sequential(labels, lats, as_level):
-    """The same by walking along the hops."""
-    hops, segments, indices, entered = [labels[0]], [], [0] if as_level else [], 0.0
-    for i in range(1, len(labels)):
-        if labels[i] != hops[-1]:
-            hops.append(labels[i])
-            indices.append(i)
-            segments += [lats[i - 1] - entered, lats[i] - lats[i - 1]]
-            entered = lats[i]
-    return hops, segments + [lats[-1] - entered], indices + [len(labels)]
+def runs_of(labels, lats, as_level):
+    """Hops, segments and indices from the runs of equal labels: [first, last] of each, in order."""
+    runs = [[i for i, _ in run] for _, run in itertools.groupby(enumerate(labels), key=lambda pair: pair[1])]
+    inside = [lats[run[-1]] - (lats[run[0]] if k else 0.0) for k, run in enumerate(runs)]
+    between = [lats[right[0]] - lats[left[-1]] for left, right in itertools.pairwise(runs)]
+    segments = [x for pair in zip(inside, between) for x in pair] + inside[-1:]
+    starts = [run[0] for run in runs]
+    return [labels[i] for i in starts], segments, starts[0 if as_level else 1 :] + [len(labels)]
 
 
 @pytest.mark.parametrize("level", ["as", "geo"])
 @pytest.mark.parametrize("endpoint", ["as", "geo"])
-def test_compress_against_sequential_walk(spark, level, endpoint):
+def test_compress_against_runs(spark, level, endpoint):
     rng = random.Random(1)
     given = []
     for _ in range(200):
@@ -59,7 +58,7 @@ def test_compress_against_sequential_walk(spark, level, endpoint):
     find = lambda ip, lvl: IP_MAP[ip // 100 - 1][pick[lvl]]
     for i, (ips, lats) in enumerate(given):
         row = got[f"t{i}"]
-        hops, segments, indices = sequential([find(ip, level) for ip in ips], lats, level == "as")
+        hops, segments, indices = runs_of([find(ip, level) for ip in ips], lats, level == "as")
         assert (row.hops, row.segment_lats, row.hop_indices) == (hops, segments, indices)
         assert (row.src, row.dst) == (find(ips[0], endpoint), find(ips[-1], endpoint))
         assert row.num_hops == len(hops) and row.raw_hops == len(ips) and row.e2e == lats[-1]
@@ -124,3 +123,28 @@ def test_shuffled_lookup_is_an_equi_join(spark):
     hops = spark.createDataFrame([(1, 150)], "id int, ip bigint")
     text = plan(tm.floor_lookup(hops, ip_map(spark), 0))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_missing_locations_are_left_out_and_counted(spark):
+    holes = ip_map(spark, [(100, "A1", "X"), (200, "A2", None), (300, "A3", "Y")])
+    labelled = tm.label_hops(make(spark, ([150, 250, 350], [1.0, 2.0, 3.0]), ([150, 350], [1.0, 2.0])), holes)
+    assert [r.hops for r in tm.compress(labelled, "geo").collect()] == [["X", "Y"]]
+    assert tm.compress(labelled, "as").count() == 2
+    assert [tuple(r) for r in tm.label_coverage(labelled, "geo").collect()] == [(2008, 2, 1)]
+    assert [tuple(r) for r in tm.label_coverage(labelled).collect()] == [(2008, 2, 0)]
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Pacific/Auckland"])
+def test_a_trace_has_one_year_in_every_zone(spark, zone):
+    line = spark.createDataFrame([("200801 10.0.0.1 1.5",), ("200712 10.0.0.1 1.5",)], "value string")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        traces, _ = tm.parse_lines(line, "IPLANE")
+        everywhere = ip_map(spark, [(0, "A", "X")])
+        labelled = tm.label_hops(traces, everywhere)
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        years = {r.year for r in tm.overview(tm.slice_years(tm.compress(labelled), [2008])).collect()}
+        assert years == {2008}
+        assert {r.year: r.n for r in tm.label_coverage(labelled).collect()} == {2007: 1, 2008: 1}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

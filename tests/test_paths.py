@@ -95,3 +95,11 @@ def test_path_strings_and_cycles(table):
 def test_cycle_of_hyphenated_labels(spark):
     df = spark.createDataFrame([(["a-b", "b"],)], "hops array<string>")
     assert not tm.path_cycles(df).first().has_cycle
+
+
+def test_ids_with_one_prefix_are_split(spark):
+    """Stretches come from the rows, so equal times and look-alike ids do not hold a hot key together."""
+    rows = [("hot", f"trace-{k:06d}", "2008-01-01 00:00:00", ["a", "bc"[k % 5 == 0]]) for k in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = tm.path_prevalence(df, ["k"], 100).first()
+    assert got.num_changes == sum(a[3] != b[3] for a, b in zip(rows, rows[1:]))

@@ -165,3 +165,34 @@ def test_sink(spark, tmp_path, fmt):
     assert back.count() == 2
     if fmt == "text":
         assert sorted(r.value for r in back.collect()) == ["(a,2,x y)", "(b,1,)"]
+
+
+def test_nested_folders_are_read(spark, tmp_path):
+    (tmp_path / "2008" / "b").mkdir(parents=True)
+    (tmp_path / "a.txt").write_text("200801 10.0.0.1 1\n")
+    (tmp_path / "2008" / "b" / "c.txt").write_text("200802 10.0.0.1 1\n")
+    assert tm.read_lines(spark, str(tmp_path), "IPLANE").count() == 2
+
+
+def test_ids_do_not_depend_on_the_splits(spark, tmp_path):
+    texts = [f"2008{1 + k % 9:02d} 10.0.0.{k % 50} {k % 3}" for k in range(300)] + ["200801 10.0.0.1 1"] * 2500
+    (tmp_path / "lines.txt").write_text("\n".join(texts))
+    found = []
+    for size in ("1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = tm.read_traces(spark, str(tmp_path), "IPLANE", clean=False)[0].select("trace_id", "year", "e2e").collect()
+        found.append(sorted(map(tuple, rows)))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len({i for i, _, _ in found[0]}) == len(texts)
+
+
+def test_seconds_without_a_timestamp(spark):
+    texts = [f"a,b,{s},7,t,1:10.0.0.1_5" for s in ("1230768000000000", "-1230768000000000", "99999999999999999999")]
+    assert reasons(spark, "LARGECDN", *texts) == dict.fromkeys(texts, "date")
+
+
+def test_starts_outside_the_address_space(spark):
+    rows = spark.createDataFrame([("-5 1 us", 1), (f"{2**32} 2 us", 2), ("7 3 us", 3)], "value string, line_order int")
+    ip_map, bad = tm.sources.ipmap.parse_ip_map(rows)
+    assert [r.range_start for r in ip_map.collect()] == [7]
+    assert bad.count() == 2

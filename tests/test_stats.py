@@ -1,3 +1,5 @@
+import bisect
+import itertools
 import math
 import random
 import statistics
@@ -11,25 +13,60 @@ from tracemill.operators.stats import PERCENTILES, stat6
 SIZES = [*range(1, 140), 500, 9_999, 10_099, 20_001]
 
 
+def rank(n, k):
+    """Rank of the k-th of 100 points among n sorted values: the least r with r/n at k hundredths, within a millionth."""
+    return math.ceil((k / 100 - 1e-6) * n)
+
+
 def points(values):
-    """The distribution points by walking along the sorted values."""
+    """The distribution as defined: 100 points by rank from 100 values on, else one point for each value."""
     values, n = sorted(values), len(values)
-    step = 0.01 if n >= 100 else 1.0 / n
-    out, p = [(0.0, 0.0)], step
-    for i, v in enumerate(values, 1):
-        if i / n >= p or abs(i / n - p) < 1e-6:
-            out.append((math.floor(p * 100 + 0.5) / 100, v))
-            p += step
-    return out
+    if n >= 100:
+        return [(0.0, 0.0)] + [(k / 100, values[max(rank(n, k), 1) - 1]) for k in range(1, 101)]
+    return [(0.0, 0.0)] + [(math.floor(100 * p + 0.5) / 100, v) for p, v in zip(shares(n), values)]
+
+
+def shares(n):
+    """1/n added up once, twice, ... n times."""
+    return itertools.accumulate([1.0 / n] * n)
 
 
 def percentile(cdf, p):
     if len(cdf) == 101:
         return cdf[p][1]
-    for (p0, v0), (p1, v1) in zip(cdf, cdf[1:]):
-        if p1 >= p / 100:
-            return v0 + (v1 - v0) / (p1 - p0) * (p / 100 - p0)
-    raise AssertionError
+    k = bisect.bisect_left([q for q, _ in cdf], p / 100)
+    (p0, v0), (p1, v1) = cdf[k - 1 : k + 1]
+    return v0 + (v1 - v0) / (p1 - p0) * (p / 100 - p0)
+
+
+# By hand: sorted values, then p25, p50, p75, p90.
+SMALL = [
+    ([4.0], (1.0, 2.0, 3.0, 3.6)),
+    ([2.0, 6.0], (1.0, 2.0, 4.0, 5.2)),
+    ([1.0, 2.0, 3.0, 10.0], (1.0, 2.0, 3.0, 7.2)),
+    ([-5.0, 0.0, 0.0, 5.0, 20.0], (-3.75, 0.0, 3.75, 12.5)),
+]
+
+
+def test_small_groups_by_hand(spark):
+    rows = [(g, v) for g, (values, _) in enumerate(SMALL) for v in values]
+    got = {r.g: r for r in tm.percentiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v").collect()}
+    for g, (_, want) in enumerate(SMALL):
+        assert [got[g][f"p{p}"] for p in (25, 50, 75, 90)] == pytest.approx(want)
+
+
+def test_every_hot_key_is_split(spark):
+    """No limit on the number of hot keys; the plan is built without a job."""
+    from tracemill.operators.stats import mark_hot
+
+    df = spark.range(30_000).select((F.col("id") % 3000).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    assert mark_hot(df, ["g"], 10).where("hot").select("g").distinct().count() == 3000
+    assert mark_hot(df, ["g"], 11).where("hot").count() == 0
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "")
+    tm.percentiles(df, ["g"], "v", hot_rows=5), tm.cdf(df, ["g"], "v", hot_rows=5)
+    assert list(tracker.getJobIdsForGroup("plan")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.fixture(scope="module")

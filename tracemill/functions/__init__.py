@@ -5,7 +5,15 @@ from tracemill.functions.addresses import (
     slash24_number,
     slash24_text,
 )
-from tracemill.functions.dates import day_start, day_text, month_start, month_text
+from tracemill.functions.dates import (
+    day_start,
+    day_text,
+    month_start,
+    month_text,
+    utc_date,
+    utc_start,
+    utc_year,
+)
 
 __all__ = [
     "day_start",
@@ -17,4 +25,7 @@ __all__ = [
     "prefix_start",
     "slash24_number",
     "slash24_text",
+    "utc_date",
+    "utc_start",
+    "utc_year",
 ]

@@ -17,8 +17,10 @@ from tracemill.session import stored
 
 BUCKET_BITS = 16
 LAST_BUCKET = 65535
-# Map rows up to which the map is broadcast (about 50 MB with its bucket copies).
+# Up to these the map is broadcast: its rows, and an estimate of its bytes with labels.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
+ROW_BYTES = 64
 # The most used addresses, broadcast in the shuffled way. Any other address then holds less than
 # one part in HOT_ADDRESSES of all hops.
 HOT_ADDRESSES = 10_000
@@ -32,13 +34,21 @@ def floor_lookup(
 
     Both are NULL below the first range start. The map has one row per ``range_start``.
     """
-    if ip_map.count() <= broadcast_rows:
+    size = ip_map.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(ROW_BYTES + F.coalesce(F.octet_length("as_no"), F.lit(0)) + F.coalesce(F.octet_length("geo"), F.lit(0))).alias(
+            "bytes"
+        ),
+    ).first()
+    if size["rows"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return _broadcast_lookup(hops, ip_map)
     return _shuffled_lookup(hops, ip_map)
 
 
 def _bucket(address: Column) -> Column:
-    return F.least(F.shiftright(address, BUCKET_BITS), F.lit(LAST_BUCKET).cast("bigint"))
+    """Addresses outside the IPv4 space go to the first and the last bucket; the order is kept."""
+    inside = F.greatest(F.shiftright(address, BUCKET_BITS), F.lit(0).cast("bigint"))
+    return F.least(inside, F.lit(LAST_BUCKET).cast("bigint"))
 
 
 def _broadcast_lookup(hops: DataFrame, ip_map: DataFrame) -> DataFrame:
@@ -87,7 +97,7 @@ def label_addresses(addresses: DataFrame, ip_map: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = line.withColumn("label", F.last("label", ignorenulls=True).over(upto)).where("_asked")
-    # At most LAST_BUCKET + 1 rows, whatever the data.
+    # ``carried`` has at most LAST_BUCKET + 1 rows, whatever the data.
     return (
         inside.join(F.broadcast(carried), "_bucket")
         .withColumn("label", F.coalesce("label", "_carried"))

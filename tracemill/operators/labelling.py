@@ -6,28 +6,32 @@ ARRAY<DOUBLE>, hop_indices ARRAY<INT>, num_hops, raw_hops, e2e, has_negative, in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import utc_year
 from tracemill.operators.floor_join import BROADCAST_ROWS, floor_lookup
 
 LABELS = {"as": "as_no", "geo": "geo"}
 
 
 def explode_hops(traces: DataFrame) -> DataFrame:
-    """One row per hop: trace_id, ts, region, pos, ip, lat."""
+    """One row per hop: trace_id, ts, year, region, pos, ip, lat."""
     return traces.select(
         "trace_id",
         "ts",
+        "year",
         "region",
         F.posexplode(F.arrays_zip("hops", "lats")).alias("pos", "hop"),
-    ).select("trace_id", "ts", "region", "pos", F.col("hop.hops").alias("ip"), F.col("hop.lats").alias("lat"))
+    ).select(
+        "trace_id", "ts", "year", "region", "pos", F.col("hop.hops").alias("ip"), F.col("hop.lats").alias("lat")
+    )
 
 
 def label_hops(
     traces: DataFrame, ip_map: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Both labels of every hop: trace_id, ts, from_ip, hops ARRAY<STRUCT<pos, lat, as_no, geo>>.
+    """Both labels of every hop: trace_id, ts, year, from_ip, hops ARRAY<STRUCT<pos, lat, as_no, geo>>.
 
     One lookup serves every combination of hop and endpoint level. The array of a trace is no longer
     than the input row it came from. Traces already partitioned by trace_id are not shuffled again
@@ -36,33 +40,45 @@ def label_hops(
     found = floor_lookup(explode_hops(traces), ip_map, broadcast_rows)
     return found.groupBy("trace_id").agg(
         F.any_value("ts").alias("ts"),
+        F.any_value("year").alias("year"),
         F.any_value("region").alias("from_ip"),
         F.sort_array(F.collect_list(F.struct("pos", "lat", "as_no", "geo"))).alias("hops"),
     )
 
 
-def label_coverage(labelled: DataFrame) -> DataFrame:
-    """Per year: traces, and those excluded because an address lies below the first range start."""
-    return (
-        labelled.groupBy(F.year("ts").alias("year"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.exists("hops", lambda hop: hop["as_no"].isNull())).alias("unlabelled"),
-        )
+def _year(labelled: DataFrame) -> Column:
+    """The year the trace was stored under; one way of cutting years everywhere."""
+    return F.col("year") if "year" in labelled.columns else utc_year(F.col("ts"))
+
+
+def _unlabelled(level: str, endpoint: str | None) -> Column:
+    """Some hop lacks its label, or an end the label of the endpoint level."""
+    label, end = LABELS[level], LABELS[endpoint or level]
+    ends = (F.get("hops", F.lit(0))[end].isNull()) | (F.element_at("hops", -1)[end].isNull())
+    return F.exists("hops", lambda hop: hop[label].isNull()) | ends
+
+
+def label_coverage(labelled: DataFrame, level: str = "as", endpoint: str | None = None) -> DataFrame:
+    """Per year: traces, and those that ``compress`` leaves out at these levels, since the map has no label.
+
+    An address below the first range start has none, nor has a range whose label is NULL.
+    """
+    return labelled.groupBy(_year(labelled).alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(_unlabelled(level, endpoint)).alias("unlabelled")
     )
 
 
 def compress(labelled: DataFrame, level: str = "as", endpoint: str | None = None) -> DataFrame:
     """Collapse runs of equal labels and split the latency at the borders.
 
-    ``level`` and ``endpoint`` (default: the level) are each ``as`` or ``geo``. Traces with an
-    unlabelled hop are left out; ``label_coverage`` counts them.
+    ``level`` and ``endpoint`` (default: the level) are each ``as`` or ``geo``. Traces that lack a label at
+    one of these levels are left out; ``label_coverage`` counts them.
     """
     label, end = LABELS[level], LABELS[endpoint or level]
-    flat = labelled.where(~F.exists("hops", lambda hop: hop["as_no"].isNull())).select(
+    flat = labelled.where(~_unlabelled(level, endpoint)).select(
         "trace_id",
         "ts",
-        F.year("ts").alias("year"),
+        _year(labelled).alias("year"),
         "from_ip",
         F.get("hops", F.lit(0))[end].alias("src"),
         F.element_at("hops", -1)[end].alias("dst"),

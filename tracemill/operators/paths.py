@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.stats import HOT_ROWS, hot_keys
+from tracemill.operators.stats import HOT_ROWS, mark_hot
 
 
 def path_text(hops: Column | str = "hops") -> Column:
@@ -94,38 +94,26 @@ def path_changes(
 ) -> DataFrame:
     """Per key: how often the path differs from the one before, in order of (ts, trace_id).
 
-    The order of a hot key is cut into stretches: an hour, and inside it first the traces exactly on
-    the hour, by the first characters of trace_id (month-granular data lie there), then the others.
-    A stretch is a contiguous part of the sort order, so changes inside stretches and changes between
-    the ends of neighbouring ones add up to the whole.
+    The timeline of a hot key is cut into stretches, contiguous ranges of (key, ts, trace_id) that Spark
+    samples from the rows themselves. So changes inside stretches and changes between the ends of
+    neighbouring ones add up to the whole, whatever the ids look like and however many traces share a time.
     """
-    hot = hot_keys(label_traces, keys, hot_rows)
-    hour = F.date_trunc("hour", "ts")
-    part = F.when(F.col("ts") == hour, F.concat(F.lit("0"), F.left("trace_id", F.lit(2))))
-    is_hot = F.xxhash64(*keys).isin(hot)
-    cut = (
-        {"_hour": F.when(is_hot, hour), "_part": F.when(is_hot, part.otherwise("1"))} if hot else {}
-    )
-    rows = label_traces.select(
-        *keys,
-        *[column.alias(name) for name, column in cut.items()],
-        F.struct("ts", "trace_id").alias("_at"),
-        path_text().alias("_path"),
-    )
-    stretch = [*keys, *cut]
-    before = F.lag("_path").over(Window.partitionBy(*stretch).orderBy("_at"))
+    rows = mark_hot(label_traces.select(*keys, "ts", "trace_id", path_text().alias("_path")), keys, hot_rows)
+    at = F.struct("ts", "trace_id").alias("_at")
+    cold = rows.where("NOT hot").select(*keys, at, "_path", F.lit(-1).alias("_stretch"))
+    ranges = rows.where("hot").repartitionByRange(*keys, "ts", "trace_id")
+    cut = cold.unionByName(ranges.select(*keys, at, "_path", F.spark_partition_id().alias("_stretch")))
+    before = F.lag("_path").over(Window.partitionBy(*keys, "_stretch").orderBy("_at"))
     pieces = (
-        rows.withColumn("_changed", (F.col("_path") != before).cast("bigint"))
-        .groupBy(*stretch)
+        cut.withColumn("_changed", (F.col("_path") != before).cast("bigint"))
+        .groupBy(*keys, "_stretch")
         .agg(
             F.coalesce(F.sum("_changed"), F.lit(0)).alias("_inside"),
             F.min_by("_path", "_at").alias("_first"),
             F.max_by("_path", "_at").alias("_last"),
         )
     )
-    if not hot:
-        return pieces.select(*keys, F.col("_inside").alias("num_changes"))
-    previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_hour", "_part"))
+    previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_stretch"))
     between = F.coalesce((F.col("_first") != previous).cast("bigint"), F.lit(0))
     return (
         pieces.withColumn("_both", F.col("_inside") + between)

@@ -8,8 +8,8 @@ decimals, so both are computed here the same way and not as k/n.
 
 A key may hold any share of the rows. Values are counted first, so equal values become one row before
 the shuffle, and the values of a hot key are spread over narrow value buckets. Only one row per bucket is
-ever brought together for a whole hot key, to learn how many values lie below each bucket. Which keys are
-spread has no influence on any result, so a sketch finds them.
+ever brought together for a whole hot key, to learn how many values lie below each bucket. Hot keys are
+found by their exact sizes, as part of the same plan; which keys are spread has no influence on any result.
 """
 
 from __future__ import annotations
@@ -27,11 +27,9 @@ FULL = 100
 TOLERANCE = 1e-6
 # Buckets of a hot key per doubling of (1 + |value|).
 BUCKETS_PER_DOUBLING = 4096
-# A key is hot from this many rows on. The sketch surely finds every key with more than about one
-# thousandth of all rows, and names at most HOT_KEYS, however large the data.
+# A key is hot from this many rows on. There is at most one hot key for each HOT_ROWS rows of the table, and
+# that is what is broadcast: a million keys at 10^12 rows.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1000
-TRACKED_KEYS = 4096
 
 
 def coefficient_of_variation(avg: Column, stdev: Column) -> Column:
@@ -136,31 +134,28 @@ def _reached(rank: Column, n: Column, probability: Column) -> Column:
     return (share >= probability) | (F.abs(share - probability) < TOLERANCE)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[int]:
-    """Hashes of the keys with at least ``hot_rows`` rows: never more than HOT_KEYS numbers.
-
-    Runs a job of its own over the key columns, so that every reader of the result sees the same keys.
-    """
-    frequent = F.call_function(
-        "approx_top_k", F.xxhash64(*keys), F.lit(HOT_KEYS), F.lit(TRACKED_KEYS)
+def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, name: str = "hot") -> DataFrame:
+    """Add ``name``: whether the key of the row has at least ``hot_rows`` rows. NULL is a key like others."""
+    sizes = df.groupBy(*[F.col(key).alias(f"_{key}") for key in keys]).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") >= hot_rows)
+    same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
+    marked = df.join(F.broadcast(hot), same, "left") if keys else df.crossJoin(F.broadcast(sizes))
+    return marked.withColumn(name, F.coalesce(F.col("_rows") >= hot_rows, F.lit(False))).drop(
+        "_rows", *[f"_{key}" for key in keys]
     )
-    found = df.agg(frequent.alias("found")).select(F.inline("found"))
-    return [row["item"] for row in found.where(F.col("count") >= hot_rows).collect()]
 
 
-def _heads(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row without a value per bucket of a hot key: what lies below it, and the key's totals."""
+def _below(present: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per bucket of a hot key: how many values lie below it, and the key's totals."""
     whole_key = Window.partitionBy(*keys)
     below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        counted.where(F.col("bucket").isNotNull())
+        present.where("hot")
         .groupBy(*keys, "bucket")
-        .agg(F.sum("c").alias("cell_n"), F.sum(F.col("c") * F.col("value")).alias("cell_total"))
+        .agg(F.count(F.lit(1)).alias("cell_n"), F.sum("value").alias("cell_total"))
     )
     return cells.select(
-        *keys,
-        "bucket",
-        F.lit(0).cast("bigint").alias("c"),
+        *[F.col(key).alias(f"_{key}") for key in [*keys, "bucket"]],
         F.coalesce(F.sum("cell_n").over(below), F.lit(0)).alias("key_below"),
         F.sum("cell_n").over(whole_key).alias("key_n"),
         F.sum("cell_total").over(whole_key).alias("key_total"),
@@ -168,38 +163,50 @@ def _heads(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _ranked(
-    long: DataFrame, keys: Sequence[str], hot_rows: int, min_count: int | None = None
+    marked: DataFrame,
+    keys: Sequence[str],
+    min_count: int | None = None,
+    least: str | None = None,
 ) -> DataFrame:
-    """Distinct values with the ranks they cover: keys, value, c, after (exclusive), upto, n, avg."""
+    """Distinct values with the ranks they cover: keys, value, c, after (exclusive), upto, n, avg.
+
+    ``marked`` has a boolean ``hot``. ``least``: a column whose minimum travels along.
+    """
     c, value = F.col("c"), F.col("value")
-    present = long.where(value.isNotNull() & ~F.isnan(value))
-    hot = hot_keys(present, keys, hot_rows)
     # All values of a bucket lie below those of the next.
     spread = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BUCKETS_PER_DOUBLING)
-    cell = [*keys, "bucket"] if hot else list(keys)
-    if hot:
-        present = present.withColumn("bucket", F.when(F.xxhash64(*keys).isin(hot), spread))
-    counted = present.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("c"))
+    present = marked.where(value.isNotNull() & ~F.isnan(value)).withColumn(
+        "bucket", F.when(F.col("hot"), spread)
+    )
+    cell = [*keys, "bucket"]
+    carried = [F.min(least).alias(least)] if least else []
+    counted = present.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("c"), *carried)
 
     whole_cell = Window.partitionBy(*cell)
-    upto = whole_cell.orderBy(F.asc_nulls_first("value")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    upto = whole_cell.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumns(
+        {
+            "upto": F.sum(c).over(upto),
+            "n": F.sum(c).over(whole_cell),
+            "total": F.sum(c * value).over(whole_cell),
+        }
+    )
+    # Only hot keys have rows here. A bucket that is NULL is a whole key.
+    same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in cell]
+    shifted = ranked.join(_below(present, keys), same, "left")
+    n = F.coalesce("key_n", "n")
+    placed = shifted.select(
+        *keys,
+        *([least] if least else []),
+        "value",
+        "c",
+        (F.col("upto") + F.coalesce("key_below", F.lit(0))).alias("upto"),
+        n.alias("n"),
+        (F.coalesce("key_total", "total") / n).alias("avg"),
     )
-    ranks, n = F.sum(c).over(upto), F.sum(c).over(whole_cell)
-    total = F.sum(c * value).over(whole_cell)
-    if hot:
-        # The head of a bucket sorts first, so the values of the bucket see it without a join. A bucket
-        # without a head is a whole key.
-        counted = counted.unionByName(_heads(counted, keys), allowMissingColumns=True)
-        head = lambda name: F.first(name).over(upto)
-        ranks = ranks + F.coalesce(head("key_below"), F.lit(0))
-        n, total = F.coalesce(head("key_n"), n), F.coalesce(head("key_total"), total)
-    ranked = counted.select(
-        *keys, "value", "c", ranks.alias("upto"), n.alias("n"), (total / n).alias("avg")
-    ).where(value.isNotNull())
     if min_count is not None:
-        ranked = ranked.where(F.col("n") >= min_count)
-    return ranked.withColumn("after", F.col("upto") - c)
+        placed = placed.where(F.col("n") >= min_count)
+    return placed.withColumn("after", F.col("upto") - c)
 
 
 def _with_points(df: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
@@ -213,15 +220,17 @@ def stat6(
     keys: Sequence[str],
     min_count: int | None = None,
     hot_rows: int = HOT_ROWS,
+    least: str | None = None,
 ) -> DataFrame:
     """Statistics of ``value`` per ``keys`` and ``metric``: n, min, max, avg, stdev, cv, p25 ... p99.
 
-    NULL and NaN values do not count. ``min_count`` keeps only groups with that many values. The rows
-    are read again to find hot keys, so pass columns of a stored table.
+    NULL and NaN values do not count. ``min_count`` keeps only groups with that many values. ``least`` names
+    a column whose minimum comes along. Without a column ``hot`` (see ``as_long``) hot keys are found here.
     """
     groups = [*keys, "metric"]
+    marked = long if "hot" in long.columns else mark_hot(long, groups, hot_rows)
     points = small_group_points(long.sparkSession)
-    ranked = _with_points(_ranked(long, groups, hot_rows, min_count), points, "hi")
+    ranked = _with_points(_ranked(marked, groups, min_count, least), points, "hi")
     n, upto, value = F.col("n"), F.col("upto"), F.col("value")
     full = _full_probabilities()
     highs, lows = [], []
@@ -237,6 +246,7 @@ def stat6(
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.sum(F.col("c") * distance * distance).alias("squares"),
+        *([F.min(least).alias(least)] if least else []),
         *highs,
         *lows,
     )
@@ -244,6 +254,7 @@ def stat6(
     stdev = F.sqrt(F.col("squares") / n)
     return weighted.select(
         *groups,
+        *([least] if least else []),
         "n",
         "min",
         "max",
@@ -262,25 +273,37 @@ def _interpolated(i: int, p: int) -> Column:
     return F.when(F.col("n") >= FULL, high).otherwise(between)
 
 
-def as_long(df: DataFrame, keys: Sequence[str], metrics: dict[str, Column]) -> DataFrame:
-    """One row per metric: keys, metric, value.
-
-    stack() and not unpivot(): the exchange above it can then be shared by the two readers in _ranked.
-    """
+def as_long(
+    df: DataFrame,
+    keys: Sequence[str],
+    metrics: dict[str, Column],
+    hot_rows: int = HOT_ROWS,
+    least: str | None = None,
+) -> DataFrame:
+    """One row per metric: keys, metric, value, hot. Keys are sized before the rows are multiplied."""
     cells = [
         cell for name, column in metrics.items() for cell in (F.lit(name), column.cast("double"))
     ]
-    return df.select(*keys, F.stack(F.lit(len(metrics)), *cells).alias("metric", "value"))
+    carried = [*keys, *([least] if least else [])]
+    named = {f"_m{k}": cells[2 * k + 1] for k in range(len(metrics))}
+    narrow = df.select(*carried, *[column.alias(name) for name, column in named.items()])
+    stacked = [cell for k in range(len(metrics)) for cell in (cells[2 * k], F.col(f"_m{k}"))]
+    return mark_hot(narrow, keys, hot_rows).select(
+        *carried, "hot", F.stack(F.lit(len(metrics)), *stacked).alias("metric", "value")
+    )
 
 
-def as_wide(stats: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """One row per key with columns ``<metric>_<stat>``; ``n`` is that of the first metric."""
-    pivoted = (
-        stats.groupBy(*keys).pivot("metric", list(metrics)).agg(F.first(F.struct("n", *STAT6)))
-    )
+def as_wide(
+    stats: DataFrame, keys: Sequence[str], metrics: Sequence[str], least: str | None = None
+) -> DataFrame:
+    """One row per key with columns ``<metric>_<stat>``; ``n`` and ``least`` are those of the first metric."""
+    fields = ["n", *STAT6, *([least] if least else [])]
+    pivoted = stats.groupBy(*keys).pivot("metric", list(metrics)).agg(F.first(F.struct(*fields)))
+    first = F.col(metrics[0])
     return pivoted.select(
         *keys,
-        F.col(metrics[0])["n"].alias("n"),
+        first["n"].alias("n"),
+        *([first[least].alias(least)] if least else []),
         *[F.col(m)[s].alias(f"{m}_{s}") for m in metrics for s in STAT6],
     )
 
@@ -289,8 +312,8 @@ def percentiles(
     df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per key: n and the six percentiles."""
-    long = as_long(df, keys, {"value": F.col(value)})
-    return stat6(long, keys, hot_rows=hot_rows).select(*keys, "n", *[f"p{p}" for p in PERCENTILES])
+    long = as_long(df, keys, {"value": F.col(value)}, hot_rows)
+    return stat6(long, keys).select(*keys, "n", *[f"p{p}" for p in PERCENTILES])
 
 
 def cdf(
@@ -299,7 +322,7 @@ def cdf(
     """Per key: the points (prob, value) of the empirical distribution, with the anchor (0, 0)."""
     long = df.select(*keys, F.col(value).cast("double").alias("value"))
     points = small_group_points(df.sparkSession)
-    ranked = _with_points(_ranked(long, keys, hot_rows), points, "probs")
+    ranked = _with_points(_ranked(mark_hot(long, keys, hot_rows), keys), points, "probs")
     n, after, upto = F.col("n"), F.col("after"), F.col("upto")
     # Points first reached by this value: those near its share of ranks, then exactly.
     lowest = F.greatest(F.lit(1), F.floor(after * FULL / n) - 1)
@@ -314,11 +337,10 @@ def cdf(
         lambda k: _two_decimals(step(k)),
     )
     small = F.slice("probs", (after + 1).cast("int"), F.col("c").cast("int"))
-    reached = ranked.select(
-        *keys, F.explode(F.when(n >= FULL, full).otherwise(small)).alias("prob"), "value"
-    )
+    point = lambda prob, v: F.struct(prob.alias("prob"), v.alias("value"))
+    reached = F.transform(F.when(n >= FULL, full).otherwise(small), lambda prob: point(prob, F.col("value")))
     # The smallest value brings the anchor along.
-    anchors = ranked.where(after == 0).select(
-        *keys, F.lit(0.0).alias("prob"), F.lit(0.0).alias("value")
+    anchor = F.when(after == 0, F.array(point(F.lit(0.0), F.lit(0.0)))).otherwise(
+        F.array().cast("array<struct<prob:double,value:double>>")
     )
-    return reached.unionByName(anchors)
+    return ranked.select(*keys, F.inline(F.concat(anchor, reached)))

@@ -82,8 +82,9 @@ def label_dataset(
     traces, bad_lines = read_traces(spark, traces_path, dataset, partitions=partitions)
     ip_map, bad_map_lines = read_ip_map(spark, map_path)
     labelled_path = f"{out_path}/labelled_hops"
-    labelled = label_hops(traces, ip_map, broadcast_rows).withColumn("year", F.year("ts"))
-    labelled.write.partitionBy("year").parquet(labelled_path)
+    labelled = label_hops(traces, ip_map, broadcast_rows)
+    # Each year gets as many files as it needs, not one from every task.
+    labelled.hint("rebalance", "year").write.partitionBy("year").parquet(labelled_path)
     write_report(bad_lines, f"{out_path}/bad_lines", "json")
     write_report(bad_map_lines, f"{out_path}/bad_map_lines", "json")
     return labelled_path
@@ -102,16 +103,21 @@ def run_analysis(
     """Run one analysis (``as``, ``as-city``, ``geo`` or ``geoas``) and return its report paths.
 
     Compressed traces are stored once, by year; every report then reads only its own columns.
-    ``years=None`` reports on every year there is.
+    ``years=None`` reports on every year there is. ``coverage`` counts the traces of all years, also of
+    those that no report is made for (``reported`` is false).
     """
     shape = ANALYSES[kind]
-    labelled = R.slice_years(spark.read.parquet(labelled_path), years)
+    everything = spark.read.parquet(labelled_path)
+    labelled = R.slice_years(everything, years)
     traces_path = f"{out_path}/label_traces"
-    compress(labelled, shape.level, shape.endpoint).write.partitionBy("year").parquet(traces_path)
+    compressed = compress(labelled, shape.level, shape.endpoint)
+    compressed.hint("rebalance", "year").write.partitionBy("year").parquet(traces_path)
     label_traces = spark.read.parquet(traces_path)
 
     paths = {}
-    tables = {"coverage": label_coverage(labelled), **reports(label_traces, kind, min_count)}
+    reported = F.lit(True) if years is None else F.col("year").isin(list(years))
+    coverage = label_coverage(everything, shape.level, shape.endpoint).withColumn("reported", reported)
+    tables = {"coverage": coverage, **reports(label_traces, kind, min_count)}
     for name, table in tables.items():
         paths[name] = f"{out_path}/{name}"
         order = [F.desc("degree"), "link_src"] if name == "degree_dist" else []

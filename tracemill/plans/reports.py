@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import utc_year
 from tracemill.operators.paths import links, path_prevalence
 from tracemill.operators.stats import HOT_ROWS, as_long, as_wide, moments, stat6
 
@@ -59,11 +60,14 @@ def pair_stats(
     """
     groups = [*by, *keys]
     metrics = {"latency": F.col("e2e"), "hops": F.col("num_hops"), "raw_hops": F.col("raw_hops")}
-    stats = stat6(as_long(label_traces, groups, metrics), groups, min_count, hot_rows)
+    stats = stat6(as_long(label_traces, groups, metrics, hot_rows), groups, min_count)
     wide = as_wide(stats, groups, PAIR_METRICS)
     if not prevalence:
         return wide
-    return wide.join(path_prevalence(label_traces, groups, hot_rows), groups)
+    paths = path_prevalence(label_traces, groups, hot_rows)
+    paths = paths.toDF(*[f"_{name}" if name in groups else name for name in paths.columns])
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in groups]
+    return wide.join(paths, same).drop(*[f"_{name}" for name in groups])
 
 
 def endpoint_stats(label_traces: DataFrame, side: str, by: Sequence[str] = YEAR) -> DataFrame:
@@ -94,8 +98,8 @@ def link_stats(
 ) -> DataFrame:
     """Per directed link: n and statistics of the latency on it."""
     groups = [*by, "link_src", "link_dst"]
-    long = as_long(links(_with_year(label_traces)), groups, {"lat": F.col("lat")})
-    return stat6(long, groups, hot_rows=hot_rows).drop("metric").withColumn(
+    long = as_long(links(_with_year(label_traces)), groups, {"lat": F.col("lat")}, hot_rows)
+    return stat6(long, groups).drop("metric").withColumn(
         "link", F.concat_ws(" ", "link_src", "link_dst")
     )
 
@@ -118,8 +122,8 @@ def edge_stats(
 ) -> DataFrame:
     """Per pair whose traces all cross a border: the share of first and last segments in the latency.
 
-    Shares are in percent, NULL (and not counted) for a latency of zero. The hop count travels along
-    as one more metric, so the condition on its minimum needs neither a join nor a window.
+    Shares are in percent, NULL (and not counted) for a latency of zero. The least hop count travels
+    along with the latencies, so the condition on it needs neither a join nor a window.
     """
     groups = [*by, *keys]
     metrics = {
@@ -129,12 +133,11 @@ def edge_stats(
         "last_link": _share(F.size("segment_lats") - 2),
         "last_inside": _share(F.size("segment_lats") - 1),
         "inside": F.col("inside_pct"),
-        "hops": F.col("num_hops"),
     }
-    stats = stat6(as_long(label_traces, groups, metrics), groups, hot_rows=hot_rows)
-    wide = as_wide(stats, groups, list(metrics))
-    kept = wide.where(F.col("hops_min") > 1)
-    return kept.drop(*[name for name in wide.columns if name.startswith("hops_")])
+    long = as_long(label_traces, groups, metrics, hot_rows, least="num_hops")
+    stats = stat6(long, groups, least="num_hops")
+    wide = as_wide(stats, groups, list(metrics), least="num_hops")
+    return wide.where(F.col("num_hops") > 1).drop("num_hops")
 
 
 def _share(index: Column) -> Column:
@@ -144,4 +147,4 @@ def _share(index: Column) -> Column:
 def _with_year(label_traces: DataFrame) -> DataFrame:
     if "year" in label_traces.columns:
         return label_traces
-    return label_traces.withColumn("year", F.year("ts"))
+    return label_traces.withColumn("year", utc_year(F.col("ts")))

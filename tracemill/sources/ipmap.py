@@ -13,7 +13,7 @@ from tracemill.functions import prefix_start
 
 def read_ip_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(ip_map, bad_lines)`` of lines ``start as code [city]``."""
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         "value",
         # Blocks of one file may be read in any order; inside a block the id grows line by line.
         F.struct(
@@ -37,7 +37,8 @@ def parse_ip_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.get("words", F.lit(1)).alias("as_no"),
         F.when(F.size("words") > 3, F.concat(city, F.lit("@"), code)).otherwise(code).alias("geo"),
     )
-    good = F.col("range_start").isNotNull() & F.col("geo").isNotNull()
+    # A start outside the IPv4 space, or none, or no geo code
+    good = F.coalesce(F.col("range_start").between(0, 2**32 - 1), F.lit(False)) & F.col("geo").isNotNull()
     ip_map = (
         typed.where(good)
         .groupBy("range_start")

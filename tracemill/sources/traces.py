@@ -13,12 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions import ip_to_number, month_start
+from tracemill.functions import ip_to_number, month_start, utc_year
+
+
+# Up to the year 9999.
+MAX_SECONDS = 253_402_300_799
 
 
 def read_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Every line of every file below ``path`` (gzip included)."""
-    return spark.read.text(path).select(
+    """Every line of every file below ``path``, nested folders and gzip included."""
+    return spark.read.option("recursiveFileLookup", True).text(path).select(
         "value",
         F.lit(_known(dataset)).alias("dataset"),
         F.col("_metadata.file_path").alias("path"),
@@ -65,7 +69,6 @@ def parse_lines(lines: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
             "value",
             path.alias("path"),
             F.lit(dataset).alias("dataset"),
-            F.monotonically_increasing_id().alias("line_no"),
         )
     )
     typed = fields.withColumns(
@@ -83,17 +86,24 @@ def parse_lines(lines: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
         .when(F.exists("lats", bad_latency), "latency")
         .when(F.col("region").isNull() | F.col("target").isNull(), "endpoint"),
     )
-    # The digest makes the order of trace ids depend on the text alone. The line number only keeps
-    # identical lines apart, and those have identical hops, so no result depends on it.
-    traces = checked.where(F.col("reason").isNull()).select(
-        F.concat(F.md5("value"), F.lit("-"), F.col("line_no").cast("string")).alias("trace_id"),
+    # Ids depend on the text alone, so they are the same however the files are split. Identical lines are
+    # counted, with partial sums, and told apart by a running number; in two steps, which keeps the arrays short.
+    fields = ["ts", "region", "target", "hops", "lats", "num_hops"]
+    distinct = (
+        checked.where(F.col("reason").isNull())
+        .groupBy(F.md5("value").alias("digest"), *fields)
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    last = F.col("copies") - 1
+    thousands = F.sequence(F.lit(0).cast("bigint"), F.floor(last / 1000))
+    ones = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(999).cast("bigint"), last - 1000 * F.col("thousand")))
+    copies = distinct.withColumn("thousand", F.explode(thousands)).withColumn("one", F.explode(ones))
+    number = (1000 * F.col("thousand") + F.col("one")).cast("string")
+    traces = copies.select(
+        F.concat_ws("-", "digest", number).alias("trace_id"),
         "ts",
-        F.year("ts").alias("year"),
-        "region",
-        "target",
-        "hops",
-        "lats",
-        "num_hops",
+        utc_year(F.col("ts")).alias("year"),
+        *fields[1:],
         F.element_at("lats", -1).alias("e2e"),
     )
     bad = checked.where(F.col("reason").isNotNull()).select("value", "dataset", "path", "reason")
@@ -161,7 +171,8 @@ def _cdn(lines: DataFrame) -> DataFrame:
     seconds = F.get("fields", F.lit(2)).try_cast("bigint")
     return split.withColumns(
         {
-            "ts": F.timestamp_seconds(seconds),
+            # outside of this a timestamp does not exist
+            "ts": F.timestamp_seconds(F.when(F.abs(seconds) <= MAX_SECONDS, seconds)),
             "region": F.get("fields", F.lit(3)),
             "target": F.get("fields", F.lit(4)),
             "hop_texts": F.coalesce(

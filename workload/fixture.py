@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions import number_to_ip
+from tracemill.functions import number_to_ip, utc_start
 
 FIRST_ADDRESS = 16777216
 ADDRESSES = 2**32 - FIRST_ADDRESS
@@ -37,7 +37,6 @@ def traces(
     spark: SparkSession, sf_dir: str, shift: float = 0.0, daily: bool = False
 ) -> DataFrame:
     """One trace per order; ``shift`` is added to every latency, ``daily`` keeps the day of ``ts``."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Spread before grouping: the lines of an order are scattered, so there is nothing to combine first.
     lines = (
         table(spark, sf_dir, "lineitem")
@@ -54,14 +53,16 @@ def traces(
         F.col("o_custkey").cast("string").alias("region"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"),
-        F.col("o_orderdate").cast("timestamp").alias("day"),
+        utc_start(F.col("o_orderdate").cast("date")).alias("day"),
+        F.col("o_orderdate").cast("date").alias("date"),
     )
     grouped = lines.groupBy("trace_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     shaped = grouped.join(orders, "trace_id").select(
         "trace_id",
-        (F.col("day") if daily else F.date_trunc("month", "day")).alias("ts"),
-        F.year("day").alias("year"),
+        (F.col("day") if daily else utc_start(F.trunc("date", "month"))).alias("ts"),
+        F.year("date").alias("year"),
         "day",
+        "date",
         "region",
         "status",
         "priority",
@@ -130,7 +131,7 @@ def _hop_words(address, tail: str = ".25") -> Column:
 
 def ark_lines(df: DataFrame, address=number_to_ip) -> DataFrame:
     flag = F.when(F.col("status") == "P", "ERR").otherwise("MOS")
-    day = F.date_format("day", "yyyyMMdd")
+    day = F.date_format("date", "yyyyMMdd")
     return df.select(
         F.concat_ws(" ", day, "region", "target", flag, _hop_words(address)).alias("value")
     )
@@ -138,7 +139,7 @@ def ark_lines(df: DataFrame, address=number_to_ip) -> DataFrame:
 
 def iplane_lines(df: DataFrame) -> DataFrame:
     return df.select(
-        F.concat_ws(" ", F.date_format("day", "yyyyMM"), _hop_words(number_to_ip)).alias("value")
+        F.concat_ws(" ", F.date_format("date", "yyyyMM"), _hop_words(number_to_ip)).alias("value")
     )
 
 
@@ -169,7 +170,7 @@ def zero_address(ip: Column) -> Column:
 
 def broken_lines(df: DataFrame) -> DataFrame:
     """IPLANE lines, malformed in a way that goes by the priority of the order."""
-    day = F.date_format("day", "yyyyMM")
+    day = F.date_format("date", "yyyyMM")
     words = _hop_words(number_to_ip)
     kind = F.left("priority", F.lit(1))
     return df.select(

@@ -231,10 +231,10 @@ SELECT year, {side}, count(*) AS n, {_moments('e2e', 'latency_')}, {_moments('nu
 FROM lt GROUP BY year, {side}"""
 
 
-def _overview(slices: str, where: str = "TRUE") -> str:
+def _overview(slices: str, where: str = "TRUE", level: str = "as") -> str:
     select = f"{slices}, " if slices else ""
     group = f" GROUP BY {slices}" if slices else ""
-    return f"""WITH {_lt('as')}
+    return f"""WITH {_lt(level)}
 SELECT {select}count(*) AS n, CAST(sum(num_hops) // count(*) AS BIGINT) AS avg_hops,
   CAST(sum(raw_hops) // count(*) AS BIGINT) AS avg_raw_hops, {_r('avg(e2e)', 'avg_latency')}
 FROM lt WHERE {where}{group}"""
@@ -348,6 +348,41 @@ SELECT trace_id, year, link, link_src, link_dst, {_r('lat', 'lat')} FROM link"""
 SELECT trace_id, path, array_to_string(list_sort(list_distinct(labels)), '-') AS label_set FROM lt""",
     "path_cycles": f"""WITH {_lt('as')}
 SELECT trace_id, len(labels) <> len(list_distinct(labels)) AS has_cycle FROM lt""",
+    "label_coverage_geo": f"""WITH {_found(offset=8)},
+t AS (SELECT trace_id, any_value(year) AS year,
+    bool_or(as_no IS NULL OR CAST(substr(as_no, 3) AS BIGINT) % 3 = 0) AS missing FROM found GROUP BY 1)
+SELECT year, count(*) AS n, count(*) FILTER (missing) AS unlabelled FROM t GROUP BY year""",
+    "pair_stats_null_keys": f"""WITH {_lt('geo')},
+known AS (SELECT CASE WHEN src <> dst THEN src END AS src, dst, e2e, path FROM lt),
+paths AS (SELECT src, dst, path, count(*) AS c, sum(e2e) AS total FROM known GROUP BY ALL)
+SELECT src, dst, CAST(sum(c) AS BIGINT) AS n, {_r('sum(total) / sum(c)', 'latency_avg')},
+  {_r('max(c) / sum(c)', 'prevalence')}, count(*) AS num_paths FROM paths GROUP BY src, dst""",
+    "floor_join_bounds": f"""WITH {_found(offset=8)},
+far AS (SELECT trace_id, pos, ip * CASE ip % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 1000000 END AS ip FROM hops),
+moved AS (SELECT CASE as_no WHEN 'AS1' THEN -1000000000000000 WHEN 'AS2' THEN 1000000000000000
+    ELSE range_start END AS range_start, as_no FROM ip_map)
+SELECT trace_id, CAST(pos AS INTEGER) AS pos, ip, as_no, way
+FROM far ASOF LEFT JOIN moved ON far.ip >= moved.range_start, (VALUES ('broadcast'), ('shuffled')) ways(way)""",
+    "overview_city": _overview("year", level="geo"),
+    "hop_dist_label_city": f"WITH {_lt('geo')} SELECT year, num_hops, count(*) AS n FROM lt GROUP BY ALL",
+    "hop_dist_raw_city": f"""WITH {_lt('geo')}
+SELECT year, CAST(raw_hops AS INTEGER) AS raw_hops, count(*) AS n FROM lt GROUP BY ALL""",
+    "latency_hist_city": f"""WITH {_lt('geo', shift='-25.5')}
+SELECT year, CAST(trunc(e2e) AS INTEGER) AS latency, count(*) AS n FROM lt GROUP BY ALL""",
+    "multihoming_city": f"""WITH {_lt('geo')},
+up AS (SELECT year, dst, CASE WHEN num_hops >= 2 THEN labels[-2] END AS label FROM lt)
+SELECT year, dst, count(DISTINCT label) AS n_upstream,
+  coalesce(string_agg(DISTINCT label, ' ' ORDER BY label), '') AS upstream FROM up GROUP BY year, dst""",
+    "degree_dist_city": f"""WITH {_lt('geo')}
+SELECT year, link_src, CAST(count(DISTINCT link_dst) AS DOUBLE) AS degree FROM link GROUP BY ALL""",
+    "degree_rank": f"""WITH {_lt('as')},
+d AS (SELECT year, link_src, CAST(count(DISTINCT link_dst) AS DOUBLE) AS degree FROM link GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY degree DESC, link_src) AS INTEGER) AS place FROM d""",
+    "pair_stats_as_yearly": _pairs("as", None, ["year", "src", "dst"], "s_latency.n >= 100").replace(
+        "'AS' || s_suppkey AS as_no", "CASE WHEN s_suppkey % 50 = 49 THEN 'AS0' ELSE 'AS1' END AS as_no"
+    ),
+    "sink_text": f"""WITH {_lt('geo')}, d AS (SELECT year, num_hops, count(*) AS n FROM lt GROUP BY ALL)
+SELECT '(' || num_hops || ',' || n || ')' AS value, 'ARK' AS dataset, year FROM d""",
     "overview": _overview("year"),
     "overview_all": _overview(""),
     "hop_dist_label": f"WITH {_lt('as')} SELECT year, num_hops, count(*) AS n FROM lt GROUP BY ALL",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import tracemill as tm
@@ -81,9 +81,16 @@ def _files(spark: SparkSession, lines: DataFrame, name: str, gzip: bool = True)
     return path
 
 
+def _clock(ts):
+    """Hours, minutes and seconds of an instant, in UTC."""
+    second = F.pmod(F.unix_seconds(ts), F.lit(86400))
+    parts = [F.floor(second / 3600), F.floor(second / 60) % 60, second % 60]
+    return F.concat(*[F.lpad(part.cast("string"), 2, "0") for part in parts])
+
+
 def _flat_traces(traces: DataFrame) -> DataFrame:
     return traces.select(
-        F.date_format("ts", "yyyyMMddHHmmss").alias("at"),
+        F.concat(day_text(F.col("ts")), _clock(F.col("ts"))).alias("at"),
         "year",
         "region",
         "target",
@@ -143,6 +150,13 @@ def sink_report(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(spark.read.parquet(path))
 
 
+def sink_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The text lines of a written report, with the folders that hold them."""
+    path = scratch_path(spark, "report-text")
+    tm.write_report(tm.distribution(_geo(spark, sf), "num_hops"), path, "text", dataset="ARK")
+    return spark.read.text(path).select("value", "dataset", F.col("year").cast("int").alias("year"))
+
+
 # --- labelling ---------------------------------------------------------------------------------
 
 
@@ -204,6 +218,53 @@ def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return tm.label_coverage(_labelled(spark, sf, offset=8))
 
 
+def label_coverage_geo(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of every third supplier have no location."""
+    ip_map = fx.ip_map(spark, sf, offset=8)
+    number = F.substring("as_no", 3, 20).cast("bigint")
+    holes = ip_map.withColumn("geo", F.when(number % 3 != 0, F.col("geo")))
+    return tm.label_coverage(tm.label_hops(fx.traces(spark, sf), holes), "geo")
+
+
+def pair_stats_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs whose source is not known: the prevalence must not lose them."""
+    table = _geo(spark, sf).withColumn("src", F.when(F.col("src") != F.col("dst"), F.col("src")))
+    stats = tm.pair_stats(stored(table, "label-traces"), by=())
+    return _rounded(stats.select("src", "dst", "n", "latency_avg", "prevalence", "num_paths"))
+
+
+def pair_stats_as_yearly(spark: SparkSession, sf: str) -> DataFrame:
+    """The AS pair report as published, by year and from 100 traces on; two networks make the pairs dense."""
+    some = F.substring("as_no", 3, 20).cast("bigint") % 50 == 49
+    two = fx.ip_map(spark, sf).withColumn("as_no", F.when(some, "AS0").otherwise("AS1"))
+    table = tm.label_traces(fx.traces(spark, sf), two)
+    return _rounded(tm.reports(stored(table, "label-traces"), "as")["pair_stats"])
+
+
+def floor_join_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Starts and addresses far outside the IPv4 space, on both ways of the join."""
+    ip_map = fx.ip_map(spark, sf, offset=8).withColumn(
+        "range_start",
+        F.when(F.col("as_no") == "AS1", F.lit(-(10**15)))
+        .when(F.col("as_no") == "AS2", F.lit(10**15))
+        .otherwise(F.col("range_start")),
+    )
+    sign = F.when(F.col("ip") % 3 == 0, -1).when(F.col("ip") % 3 == 1, 1).otherwise(10**6)
+    hops = tm.explode_hops(fx.traces(spark, sf)).withColumn("ip", F.col("ip") * sign)
+    ways = [
+        tm.floor_lookup(hops, ip_map, limit).select("trace_id", "pos", "ip", "as_no", F.lit(way).alias("way"))
+        for way, limit in (("broadcast", tm.operators.floor_join.BROADCAST_ROWS), ("shuffled", 0))
+    ]
+    return ways[0].unionByName(ways[1])
+
+
+def degree_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of the degree report as it is written, as a number."""
+    degrees = tm.degree_dist(_as(spark, sf))
+    order = Window.partitionBy("year").orderBy(F.desc("degree"), "link_src")
+    return degrees.withColumn("place", F.row_number().over(order))
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tm.links(_as(spark, sf)))
 
@@ -242,6 +303,7 @@ QUERIES: dict[str, Query] = {
         _as, lambda lt: tm.overview(tm.slice_years(lt, [1996, 1997]), by=("year",))
     ),
     "sink_report": sink_report,
+    "sink_text": sink_text,
     "ip_floor_join": _floor_join(tm.operators.floor_join.BROADCAST_ROWS),
     "ip_floor_join_shuffled": _floor_join(0),
     "compress_as": _on(_as, _compressed),
@@ -259,6 +321,19 @@ QUERIES: dict[str, Query] = {
     "links": links,
     "path_strings": _on(_as, lambda lt: tm.path_strings(lt).select("trace_id", "path", "label_set")),
     "path_cycles": _on(_as, lambda lt: tm.path_cycles(lt).select("trace_id", "has_cycle")),
+    "label_coverage_geo": label_coverage_geo,
+    "pair_stats_null_keys": pair_stats_null_keys,
+    "floor_join_bounds": floor_join_bounds,
+    "overview_city": _on(_geo, tm.overview),
+    "hop_dist_label_city": _on(_geo, lambda lt: tm.distribution(lt, "num_hops")),
+    "hop_dist_raw_city": _on(_geo, lambda lt: tm.distribution(lt, "raw_hops")),
+    "latency_hist_city": lambda spark, sf: tm.latency_hist(_label(spark, sf, "geo", shift=SHIFT - 0.5)),
+    "multihoming_city": _on(
+        _geo, lambda lt: tm.multihoming(lt).withColumn("upstream", F.array_join("upstream", " "))
+    ),
+    "degree_dist_city": _on(_geo, tm.degree_dist),
+    "degree_rank": degree_rank,
+    "pair_stats_as_yearly": pair_stats_as_yearly,
     "overview": _on(_as, tm.overview),
     "overview_all": _on(_as, lambda lt: tm.overview(lt, by=())),
     "hop_dist_label": _on(_as, lambda lt: tm.distribution(lt, "num_hops")),
