@@ -158,19 +158,19 @@ def _compare(axes: np.ndarray, threshold: float):
     return run
 
 
-def tile_pairs(tiles: DataFrame, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of tiles that can hold a link: unit vectors with that cosine are close in every component.
+def tile_reach(tiles: DataFrame, threshold: float) -> list[tuple[int, int, int, int]]:
+    """``(tile, place, first, last)``: places of the tiles, by their lowest leading component, and between which
+    places others can hold a link with one. Unit vectors with that cosine are close in every component.
 
     One row for each tile of thousands of vectors comes to the driver.
     """
     gap = max(0.0, 2 - 2 * threshold) ** 0.5 + MARGIN
     rows = sorted((r["low"], r["high"], r["tile"]) for r in tiles.select("low", "high", "tile").collect())
-    return [
-        (one[2], two[2])
-        for k, one in enumerate(rows)
-        for two in rows[k:]
-        if two[0] - gap <= one[1]
-    ]
+    lows = np.array([low for low, _, _ in rows])
+    # Made to rise, so that the tiles that reach a place are a run as well.
+    last = np.maximum.accumulate(np.searchsorted(lows, [high + gap for _, high, _ in rows], side="right") - 1)
+    first = np.searchsorted(last, np.arange(len(rows)))
+    return [(row[2], k, int(first[k]), int(last[k])) for k, row in enumerate(rows)]
 
 
 def embedding_groups(
@@ -205,9 +205,11 @@ def embedding_groups(
     ) / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
     ordered = classes.withColumn("lead", lead).repartitionByRange(-(-total // TILE_ROWS), "lead", "rep")
     tiles = stored(ordered.sortWithinPartitions("lead", "rep").mapInPandas(_tiled, TILE), "tiles")
-    pairs = spark.createDataFrame(tile_pairs(tiles, threshold), "one long, two long")
-    left = tiles.join(pairs, F.col("tile") == F.col("one"))
-    right = tiles.join(pairs, F.col("tile") == F.col("two"))
+    reach = spark.createDataFrame(tile_reach(tiles, threshold), "at long, place long, first long, last long")
+    placed = tiles.join(reach, F.col("tile") == F.col("at")).drop("at")
+    # Each pair of tiles in reach once, the lower place on the left.
+    left = placed.withColumns({"one": F.col("place"), "two": F.explode(F.sequence("place", "last"))})
+    right = placed.withColumns({"one": F.explode(F.sequence("first", "place")), "two": F.col("place")})
     right = right.toDF(*right.columns)  # columns of its own, to stand beside the left
     met = left.groupBy("one", "two").cogroup(right.groupBy("one", "two"))
     links = stored(met.applyInPandas(_compare(axes, threshold), LINKS), "links")
