@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tracemill.session import drop_stored  # noqa: E402
 from workload.registry import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -64,7 +65,9 @@ def main() -> None:
     def once(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
+        took = time.perf_counter() - start
+        drop_stored(spark)
+        return took
 
     timings = {}
     for name in names:
