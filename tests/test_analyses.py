@@ -72,6 +72,25 @@ def test_year_reaches_the_partition_filter(spark, labelled):
     assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_text_is_read_once(spark, labelled):
+    """Labelled hops and rejected lines come from the one table that the text was parsed into."""
+    base, _ = labelled
+    checked = spark.read.parquet(str(base / "out" / "checked_lines"))
+    traces, bad = tm.split_checked(checked)
+    for table in (traces, bad):
+        text = table._jdf.queryExecution().executedPlan().toString()
+        assert "checked_lines" in text and "FileScan text" not in text
+    assert traces.count() + bad.count() == checked.count()
+    assert checked.where("reason IS NULL AND value IS NOT NULL").count() == 0
+
+
+def test_files_follow_the_years(spark, labelled):
+    """One file or few for each year, not one from each task."""
+    files = spark.read.parquet(labelled[1]).inputFiles()
+    years = {f.split("year=")[1].split("/")[0] for f in files}
+    assert len(files) <= 2 * len(years)
+
+
 def test_degree_is_sorted(spark, labelled):
     df = tm.degree_dist(tm.compress(spark.read.parquet(labelled[1])), by=())
     degrees = [r.degree for r in df.collect()]

@@ -2,15 +2,18 @@ from tracemill.sources.ipmap import normalise_cidr, parse_ip_map, read_ip_map
 from tracemill.sources.sinks import write_report
 from tracemill.sources.traces import (
     DATASETS,
+    check_lines,
     clean_lines,
     parse_lines,
     read_lines,
     read_traces,
+    split_checked,
     trace_headers,
 )
 
 __all__ = [
     "DATASETS",
+    "check_lines",
     "clean_lines",
     "normalise_cidr",
     "parse_ip_map",
@@ -18,6 +21,7 @@ __all__ = [
     "read_ip_map",
     "read_lines",
     "read_traces",
+    "split_checked",
     "trace_headers",
     "write_report",
 ]

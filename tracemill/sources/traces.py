@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import ip_to_number, month_start, utc_year
 
 
+FIELDS = ("ts", "region", "target", "hops", "lats", "num_hops")
 # Up to the year 9999.
 MAX_SECONDS = 253_402_300_799
 
@@ -62,6 +63,14 @@ def read_traces(
 
 def parse_lines(lines: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     """``(traces, bad_lines)`` of lines with a ``value`` column (and optionally ``path``)."""
+    return split_checked(check_lines(lines, dataset))
+
+
+def check_lines(lines: DataFrame, dataset: str) -> DataFrame:
+    """Every line with its digest, its fields and the ``reason`` it is rejected for, NULL for good ones.
+
+    Store this to read and parse the text once; good lines keep their fields only, bad ones their text.
+    """
     grammar = DATASETS[_known(dataset)]
     path = F.col("path") if "path" in lines.columns else F.lit(None).cast("string")
     fields = grammar(
@@ -86,12 +95,23 @@ def parse_lines(lines: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
         .when(F.exists("lats", bad_latency), "latency")
         .when(F.col("region").isNull() | F.col("target").isNull(), "endpoint"),
     )
+    good = F.col("reason").isNull()
+    return checked.select(
+        *[F.when(~good, F.col(name)).alias(name) for name in ("value", "path")],
+        "dataset",
+        "reason",
+        F.md5("value").alias("digest"),
+        *[F.when(good, F.col(name)).alias(name) for name in FIELDS],
+    )
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(traces, bad_lines)`` of checked lines."""
     # Ids depend on the text alone, so they are the same however the files are split. Identical lines are
     # counted, with partial sums, and told apart by a running number; in two steps, which keeps the arrays short.
-    fields = ["ts", "region", "target", "hops", "lats", "num_hops"]
     distinct = (
         checked.where(F.col("reason").isNull())
-        .groupBy(F.md5("value").alias("digest"), *fields)
+        .groupBy("digest", *FIELDS)
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     last = F.col("copies") - 1
@@ -103,7 +123,7 @@ def parse_lines(lines: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
         F.concat_ws("-", "digest", number).alias("trace_id"),
         "ts",
         utc_year(F.col("ts")).alias("year"),
-        *fields[1:],
+        *FIELDS[1:],
         F.element_at("lats", -1).alias("e2e"),
     )
     bad = checked.where(F.col("reason").isNotNull()).select("value", "dataset", "path", "reason")
