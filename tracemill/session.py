@@ -31,13 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
-    Cuts the lineage; the files outlive any executor, until ``drop_stored``.
+    Cuts the lineage; the files outlive any executor, until ``drop_stored``. ``compact``: a table much
+    smaller than what it was made from goes into files of its own size, not into one for each task.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
