@@ -290,6 +290,9 @@ def rollup_day(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tm.rollup_time(traces.withColumn("ts", day_start(day_text(F.col("ts")))), "day"))
 
 
+# What the queries start from.
+FIXTURES: dict[str, Query] = {"traces": fx.traces, "as": _as, "geo": _geo, "geoas": _geoas}
+
 QUERIES: dict[str, Query] = {
     "src_lines": src_lines,
     "src_ark": src_ark,
