@@ -161,3 +161,10 @@ def test_moment_table_of_negatives(spark):
     df = spark.createDataFrame([("a", -1.0), ("a", -3.0)], "g string, v double")
     row = tm.moment_table(df, ["g"], "v").first()
     assert (row.avg, row.variance, row.stdev, row.cv) == (-2.0, 1.0, 1.0, 0.0)
+
+
+def test_without_keys(table, groups):
+    everything = sorted(v for values in groups.values() for v in values)
+    row = tm.percentiles(table, [], "v").first()
+    assert row.n == len(everything)
+    assert [row[f"p{p}"] for p in PERCENTILES] == [points(everything)[p][1] for p in PERCENTILES]

@@ -135,11 +135,16 @@ def _reached(rank: Column, n: Column, probability: Column) -> Column:
 
 
 def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, name: str = "hot") -> DataFrame:
-    """Add ``name``: whether the key of the row has at least ``hot_rows`` rows. NULL is a key like others."""
+    """Add ``name``: whether the key of the row has at least ``hot_rows`` rows. NULL is a key like others.
+
+    Without keys all rows are one group, which is always split.
+    """
+    if not keys:
+        return df.withColumn(name, F.lit(True))
     sizes = df.groupBy(*[F.col(key).alias(f"_{key}") for key in keys]).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") >= hot_rows)
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-    marked = df.join(F.broadcast(hot), same, "left") if keys else df.crossJoin(F.broadcast(sizes))
+    marked = df.join(F.broadcast(hot), same, "left")
     return marked.withColumn(name, F.coalesce(F.col("_rows") >= hot_rows, F.lit(False))).drop(
         "_rows", *[f"_{key}" for key in keys]
     )
