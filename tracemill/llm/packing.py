@@ -218,7 +218,7 @@ def pack_documents(
     packed each for itself, an empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
-    pieces = stored(cut_documents(docs, path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = stored(cut_documents(docs, path, capacity, end_id, id_col, text_col), "pieces", compact=True)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_packing(counts, capacity)
     runs = spark.createDataFrame(

@@ -336,7 +336,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and repeated rows are kept; other columns are not read.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(detect(given, "text").select("doc_id", "found"), "spans")
+    found = stored(detect(given, "text").select("doc_id", "found"), "spans", compact=True)
     model = learn(found)
     base = F.filter(F.col("spans"), lambda s: s["kind"].isin(*BASE))
     return found.withColumn("spans", spans_of(model)).select("doc_id", base.alias("base"), "spans")

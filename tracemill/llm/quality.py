@@ -220,7 +220,7 @@ def score_quality(
     than two rows of a label every score is the share of label 1 (0.5 without labels). NULL ids and repeated
     rows are kept; other columns are not read.
     """
-    stats = stored(text_statistics(docs, id_col, text_col), "statistics")
+    stats = stored(text_statistics(docs, id_col, text_col), "statistics", compact=True)
     model = learn(stats, labels)
 
     @F.pandas_udf("double")

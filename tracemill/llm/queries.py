@@ -1,4 +1,7 @@
-"""The registered queries of the operators, and their SQL where SQL can say it."""
+"""The registered queries of the operators, and their SQL where SQL can say it.
+
+Digests are much smaller than the texts they stand for; ``rebalance`` keeps them from being a small file per task.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +46,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ).hint("rebalance")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def op7_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
-    )
+    ).hint("rebalance")
 
 
 def op9_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

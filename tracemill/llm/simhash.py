@@ -98,7 +98,7 @@ def simhash_groups(
     a NULL id keeps its row; its component is named by the smallest other id, NULL if there is none.
     Empty and NULL texts have fingerprint 0. Repeated rows stay repeated; other columns are not read.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash", compact=True)
     forest = components(links(prints, radius))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(forest, F.col("fp") == F.col("node"), "left").select(
