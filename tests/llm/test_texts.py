@@ -127,6 +127,21 @@ def test_boundaries_of_every_character():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [encoder(path).encode_ordinary(t) for t in texts]
 
 
+def test_long_texts_are_cut_between_words():
+    from tracemill.llm.bpe import CHUNK, Merger, encode_text, parts
+    from tracemill.llm.pretokens import class_ranges, class_table
+    from tracemill.llm.vocabulary import ranks
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rng = np.random.default_rng(8)
+    for letters in ("abc  '\n1!é", "ab ", " \n1!", "a"):
+        text = "".join(rng.choice(list(letters), 5 * CHUNK)) if len(letters) > 1 else letters * 3 * CHUNK
+        assert "".join(parts(text)) == text
+        if letters != "a":
+            got = np.frombuffer(encode_text(text, class_table(class_ranges()), Merger(ranks(path))), "<u4")
+            assert got.tolist() == encoder(path).encode_ordinary(text)
+
+
 def test_packing(docs, texts, same):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     exact.encode_special_tokens = True

@@ -134,6 +134,25 @@ class Merger:
         return out
 
 
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about CHUNK characters, cut where a word begins in any case: at a space after a letter."""
+    at = 0
+    while len(text) - at > 2 * CHUNK:
+        end = text.find(" ", at + CHUNK)
+        while end > 0 and not text[end - 1].isalpha():
+            end = text.find(" ", end + 1)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def encode_text(text: str, table: np.ndarray, merger: Merger) -> bytes:
+    """Ids of one text of any length."""
+    return b"".join([encode_texts([part], table, merger)[0] for part in parts(text)])
+
+
 def encode_texts(texts: list[str], table: np.ndarray, merger: Merger) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers."""
     points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32)
@@ -174,7 +193,10 @@ def encode(docs: DataFrame, path: str = "", id_col: str = "doc_id", text_col: st
         merger, table = Merger(vocabulary), class_table(ranges)
         lengths = _token_lengths(vocabulary)[1]
         for part in slices(batches, "text", CHUNK):
-            ids = encode_texts([text.decode() for text in texts_of(part, "text")], table, merger)
+            texts = [text.decode() for text in texts_of(part, "text")]
+            # A slice has more than CHUNK bytes only if it is a single text.
+            one = len(texts) == 1
+            ids = [encode_text(texts[0], table, merger)] if one else encode_texts(texts, table, merger)
             ends = [np.cumsum(lengths[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
             columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, (ids, ends))]
             yield pa.RecordBatch.from_arrays(
