@@ -124,7 +124,7 @@ def _intervals(mask: np.ndarray) -> list[list[int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-def _strip(width: int):
+def _strip(width: int, as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for part in slices(batches, "packed", SLICE_BYTES // 4):
@@ -141,7 +141,7 @@ def _strip(width: int):
                     words = [word for word, gone in zip(words, mask.tolist()) if not gone]
                 columns["n_words"].append(len(mask))
                 columns["n_removed"].append(int(mask.sum()))
-                columns["kept"].append(b" ".join(words))
+                columns["kept"].append(text if as_is and not mask.any() else b" ".join(words))
                 columns["removed"].append(_intervals(mask))
             kept = pa.array(columns["kept"], pa.binary()).cast(pa.string())
             cuts = pa.array(columns["removed"], pa.list_(pa.list_(pa.int32())))
@@ -172,13 +172,15 @@ def dedup_substrings(
     text_col: str = "text",
     width: int = WIDTH,
     extra: Sequence[str] = (),
+    as_is: bool = False,
 ) -> DataFrame:
     """``doc_id``, the ``extra`` columns, ``n_words``, ``n_removed``, ``kept`` and ``removed``.
 
     ``removed`` lists the maximal runs [first, end) of removed words, ``kept`` has the others, joined by
-    a blank. A NULL text has no words. A row with a NULL id gives no windows to others and keeps all
-    its words. Rows of one id are one document. Texts shorter than a window stay as they are. Other
-    columns of ``docs`` are not read; extra ones keep their values, and names of the result come first.
+    a blank; with ``as_is`` a text that loses nothing keeps its own white space. A NULL text has no words
+    and comes out empty. A row with a NULL id gives no windows to others and keeps all its words. Rows of
+    one id are one document. Texts shorter than a window lose nothing. Other columns of ``docs`` are
+    not read; extra ones keep their values, and names of the result come first.
     """
     taken = {"doc_id", "n_words", "n_removed", "kept", "removed"}
     extra = [name for name in extra if name not in taken]
@@ -201,4 +203,4 @@ def dedup_substrings(
             "n_words long, n_removed long, kept string, removed array<array<int>>",
         ]
     )
-    return met.select("doc_id", *extra, "packed", "flagged").mapInArrow(_strip(width), schema)
+    return met.select("doc_id", *extra, "packed", "flagged").mapInArrow(_strip(width, as_is), schema)
