@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components, star_forest
-from tracemill.llm.vectors import packed, unpacked, usable
+from tracemill.llm.vectors import by_width, packed, unpacked, usable
 from tracemill.session import stored
 
 THRESHOLD = 0.9
@@ -173,32 +174,14 @@ def tile_reach(tiles: DataFrame, threshold: float) -> list[tuple[int, int, int,
     return [(row[2], k, int(first[k]), int(last[k])) for k, row in enumerate(rows)]
 
 
-def embedding_groups(
-    vectors: DataFrame,
-    threshold: float = THRESHOLD,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of every row.
-
-    Equal vectors are one class from the start, in which all are linked. Classes are turned into their principal
-    axes, sorted by the first and cut into tiles; a pair of tiles is one task. Each task counts the links of
-    its rows and passes on a spanning forest, so a cluster of any density costs no more than its rows.
-    Rows that ``usable`` leaves out have no links and stand alone. Repeated rows of one id are rows
-    like any other. An empty table gives no row.
-    """
-    spark = vectors.sparkSession
-    given = usable(vectors, id_col, vector_col)
+def _named(given: DataFrame, threshold: float) -> DataFrame:
+    """``(vector, n_links, component_id)`` of the distinct vectors of one length."""
+    spark = given.sparkSession
     # 0.0 and -0.0 are one value to a grouping
     classes = stored(
         given.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes"
     )
     total = classes.count()
-    everyone = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    if not total:
-        return everyone.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
     axes = principal_axes(classes)
     lead = sum(
         (F.element_at("vector", k + 1) * float(x) for k, x in enumerate(axes[:, 0])), F.lit(0.0)
@@ -215,7 +198,7 @@ def embedding_groups(
     links = stored(met.applyInPandas(_compare(axes, threshold), LINKS), "links")
     forest = components(links.where("u != v"))
     counts = links.where("u = v").groupBy(F.col("u").alias("at")).agg(F.sum("n").alias("links"))
-    named = (
+    return (
         classes.join(counts, F.col("rep") == F.col("at"), "left")
         .join(forest, F.col("rep") == F.col("node"), "left")
         .select(
@@ -224,6 +207,31 @@ def embedding_groups(
             F.coalesce("root", "rep").alias("component_id"),
         )
     )
+
+
+def embedding_groups(
+    vectors: DataFrame,
+    threshold: float = THRESHOLD,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every row.
+
+    Equal vectors are one class from the start, in which all are linked. Classes are turned into their principal
+    axes, sorted by the first and cut into tiles; a pair of tiles is one task. Each task counts the links of
+    its rows and passes on a spanning forest, so a cluster of any density costs no more than its rows.
+    Rows that ``usable`` leaves out have no links and stand alone. Repeated rows of one id are rows
+    like any other. Vectors of different lengths are never linked; each length has tiles of its own. An empty table
+    gives no row.
+    """
+    given = usable(vectors, id_col, vector_col)
+    parts = by_width(given)
+    if not parts:
+        everyone = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
+        return everyone.select(
+            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
+        )
+    named = reduce(DataFrame.unionByName, [_named(part, threshold) for part in parts])
     # Rows of a class that very many vectors share are split by the adaptive skew join.
     keyed = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")

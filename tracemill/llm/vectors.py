@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, vector)`` with vectors of doubles that can be compared.
 
-    Left out: vectors that are NULL, empty, all zero or hold NULL or non-finite components, vectors shorter
-    than the longest of the table, and rows with a NULL id.
+    Left out: vectors that are NULL, empty, all zero or hold NULL or non-finite components, and rows with a NULL id.
+    Vectors of one length can be compared, see ``by_width``.
     """
     given = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    good = given.where(
+    return given.where(
         F.col("vec_id").isNotNull()
         & F.forall("vector", finite)
         & F.exists("vector", lambda x: x != 0.0)
     )
-    width = good.agg(F.max(F.size("vector"))).first()[0] or 0
-    return good.where(F.size("vector") == width)
+
+
+def by_width(good: DataFrame) -> list[DataFrame]:
+    """The vectors of each length by themselves, shortest first; none of an empty table."""
+    sizes = sorted(row[0] for row in good.select(F.size("vector")).distinct().collect())
+    return [good.where(F.size("vector") == size) for size in sizes]
 
 
 def packed(rows: list | np.ndarray) -> bytes:

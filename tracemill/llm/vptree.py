@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.vectors import packed, unpacked, usable
+from tracemill.llm.vectors import by_width, packed, unpacked, usable
 from tracemill.session import stored
 
 K = 20
@@ -214,21 +216,28 @@ def nearest(
     ``queries``: a condition on ``vec_id``. Every other row is a candidate, with equal vectors among them;
     ties go to the smaller id. Blocks of queries meet every shard, and each pair of a block and a shard
     is a task of bounded size. Rows that ``usable`` leaves out neither ask nor answer. Rows with the id of
-    the query are its own. Repeated query rows answer once. No usable row gives no result.
+    the query are its own. Repeated query rows answer once. No usable row gives no result. Only vectors of
+    the query's length are candidates; each length has trees of its own.
     """
     given = usable(vectors, id_col, vector_col)
+    found = [_nearest(part, queries, k, factor) for part in by_width(given) or [given]]
+    met = reduce(DataFrame.unionByName, found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(given: DataFrame, queries: Column, k: int, factor: float) -> DataFrame:
+    """The best ``k`` of every shard for every query, all vectors of one length."""
     trees, shards = plant(given, k)
     asked = given.where(queries).dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     packs = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     packs = packs.groupBy("block").applyInPandas(_gathered, "block long, ids binary, vectors binary")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    met = (
+    return (
         trees.withColumn("block", every(blocks))
         .groupBy("shard", "block")
         .cogroup(packs.withColumn("shard", every(shards)).groupBy("shard", "block"))
         .applyInPandas(_walk(k, factor), FOUND)
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
