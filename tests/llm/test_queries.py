@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_substrings": "doc_id n_words n_removed kept_sha256",
     "op9_fixity": "record_key file offset length digest offset_2 length_2 digest_2 status",
     "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op11_filters": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_planes": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13_radix": "doc_id keep_id group_size kept text_sha256",
     "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
@@ -33,13 +36,14 @@ def test_columns(spark, sf, name):
     assert df.count() > 0
 
 
-def test_audit_against_sql(spark, sf):
+@pytest.mark.parametrize("name", ["op9_fixity", "op11_filters", "op12_planes", "op13_radix"])
+def test_against_sql(spark, sf, name):
     db = duckdb.connect()
     for name in TABLES:
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    result = db.execute(entry.oracle_sql()["op9_fixity"])
+    result = db.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
-    df = entry.queries()["op9_fixity"](spark, sf)
+    df = entry.queries()[name](spark, sf)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, result.fetchall())
 
 
