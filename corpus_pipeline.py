@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.jaccard import jaccard_groups, text_digest
+from tracemill.llm.jaccard import keep_one_of_each
 from tracemill.llm.packing import pack_documents
 from tracemill.llm.pii import redact_pii
 from tracemill.llm.quality import keep_quality
@@ -30,27 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near-duplicates: the one with the smallest id, a NULL id last.
-
-    Near-duplicates share 0.8 of their shingles of five words. Rows are told apart by id and text, so rows of one id
-    with different texts are decided each by itself; of one id, the smallest text digest stays, and of rows that
-    have both in common the smallest in the other columns. What goes is stored as a table of keys; Spark
-    broadcasts it if it is small enough, and then the texts are not shuffled.
-    """
-    rows = stored(jaccard_groups(docs), "groups", True)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    keys = rows.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    keys = keys.join(rows.groupBy("root").agg(F.min(rank).alias("first")), "root")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    key = [F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest")]
-    gone = stored(keys.where(~stays).select(*key), "gone", True)
-    again = stored(keys.where(stays & (F.col("n") > 1)).select(*key), "again", True)
-    named = docs.withColumn("its_text", text_digest(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("its_text") == F.col("its_digest"))
-    kept = named.join(gone, same, "left_anti")
-    single = kept.join(again, same, "left_anti").select(docs.columns)
-    repeated = kept.join(again, same, "left_semi").groupBy("doc_id", "its_text").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(repeated.select("row.*"))
+    """Keep one document of each group: SimHash balls and MinHash bands find them, exact similarity decides."""
+    return keep_one_of_each(docs)
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` returns, stored; what making it has stored is emptied then.
+
+    A table is emptied by writing one without rows in its place.
+    """
+    before = len(_written)
+    result = stored(make(), name, compact=True)
+    for path in _written[before:-1]:
+        spark.range(0).write.mode("overwrite").parquet(path)
+    _written[before:-1] = []
+    return result
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete what ``scratch_path`` and ``stored`` have made in this process; returns how many paths.
 
