@@ -17,6 +17,15 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
+def shingle_set(text: str | None, count: int = 5) -> set[tuple[str, ...]]:
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + count]) for i in range(max(1, len(words) - count + 1))} if words else set()
+
+
+def similar(a: set, b: set) -> bool:
+    return a == b or len(a & b) / len(a | b) >= 0.8
+
+
 def groups(items: list, linked) -> dict:
     """Smallest item that each one reaches."""
     reach = {x: x for x in items}

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from brute import cut, fingerprint, groups, personal
+from brute import cut, groups, personal, shingle_set, similar
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -76,9 +76,9 @@ def test_pipeline_stages(spark, sf):
 
     before = docs.collect()
     docs = stages["SimHash near-dedup"](spark, docs, sf).cache()
-    prints = {r.doc_id: fingerprint(r.text) for r in before}
-    root = groups(list(prints), lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
-    assert {r.doc_id for r in docs.collect()} == {i for i in prints if root[i] == i} and docs.columns == names
+    sets = {r.doc_id: shingle_set(r.text) for r in before}
+    root = groups(list(sets), lambda a, b: similar(sets[a], sets[b]))
+    assert {r.doc_id for r in docs.collect()} == {i for i in sets if root[i] == i} and docs.columns == names
 
     before = sorted(docs.collect(), key=lambda r: r.doc_id)
     docs = stages["substring dedup"](spark, docs, sf).cache()

@@ -144,7 +144,9 @@ def test_long_texts_are_cut_between_words():
 
 def test_packing(docs, texts, same):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
+    texts = [*texts, (80, "a <|endoftext|> b"), (81, "<|endoftext|>"), (82, "x<|endoftext|><|endoftext|>  <|endoftext|"), (83, "<|endoftext|> " * 2000)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(texts[-4:], "doc_id long, text string"), allowMissingColumns=True)
+    assert exact.encode(texts[-4][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
     want = []
     for i, text in texts:
         ids = [*exact.encode(text or "", add_special_tokens=False).ids, 2]

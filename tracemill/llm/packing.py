@@ -8,39 +8,42 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.vocabulary import encoder
+from tracemill.llm.batches import slices
+from tracemill.llm.vocabulary import added_tokens, encoder
 from tracemill.session import stored
 
 CAPACITY = 1024
 END_ID = 2
-# The ranks of byte_bpe_50k.json: the same ids, faster.
+# The ranks of the tokenizer file, which give the same ids faster; only that file has the strings with ids of their own.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
+TOKENIZER = "byte_bpe_50k.json"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Pieces of one length that are numbered together, on average.
 ITEMS_A_BUCKET = 20_000
 
 
-def _cut(path: str, capacity: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_to_numpy
-        for batch in batches:
+def _cut(path: str, tokenizer: str, capacity: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, added_tokens(tokenizer)).encode_to_numpy
+        for part in slices(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                body = encode(text or "", disallowed_special=())
+            for owner, text in enumerate(part.column("text").to_pylist()):
+                body = encode(text or "", allowed_special="all")
                 ids = np.append(body, end_id).astype("<u4")
                 # A remainder comes first, all later pieces are full.
                 starts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity)]
                 ends = [*starts[1:], len(ids)]
-                rows += [
-                    (doc_id, k, a, b - a, crc32(ids[a:b].tobytes()))
-                    for k, (a, b) in enumerate(zip(starts, ends))
-                ]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows += [(owner, k, a, b - a, crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(starts, ends))]
+            owner, piece, *figures = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in figures]],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return run
 
@@ -52,16 +55,18 @@ def cut_documents(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    tokenizer: str = "",
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: the token ids of every text plus ``end_id``, cut.
 
-    ``path``: a rank file. Only documents over ``capacity`` are cut; their first piece has the remainder.
+    ``path``: a rank file; ``tokenizer``: the tokenizer file of the same vocabulary. Its added tokens, as ``<|endoftext|>``, are
+    one id wherever their string is in a text, as that library has it unless told otherwise. Only documents over
+    ``capacity`` are cut; their first piece has the remainder.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    # Ids travel as text: a NULL among them would turn the pandas column to doubles.
-    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = texts.mapInPandas(_cut(path, capacity, end_id), PIECES)
-    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
+    tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(_cut(path, tokenizer, capacity, end_id), PIECES)
 
 
 # --- the plan, from the number of pieces of each length -----------------------------------------

@@ -23,6 +23,15 @@ BLOCK = 8192
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the unsigned 64-bit ``hashes``, as a signed number; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Of a UTF-8 text, 64 majority bits over the hashes of all shingles, repeats included; 0 without words."""
     words = text.translate(LOWER).split()  # splits at \x20 and \x09-\x0D only
@@ -33,11 +42,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     hashes = np.fromiter(
         map(xxhash.xxh64_intdigest, map(b" ".join, zip(*runs)), repeat(SEED)), np.uint64, count
     )
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, count, BLOCK):
-        bits = np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big", signed=True)
+    return majority(hashes)
 
 
 def fingerprints(
