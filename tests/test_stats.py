@@ -2,12 +2,14 @@ import bisect
 import itertools
 import math
 import random
+import re
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 import tracemill as tm
+from tracemill.operators import stats
 from tracemill.operators.stats import PERCENTILES, stat6
 
 SIZES = [*range(1, 140), 500, 9_999, 10_099, 20_001]
@@ -56,12 +58,13 @@ def test_small_groups_by_hand(spark):
 
 
 def test_every_hot_key_is_split(spark):
-    """No limit on the number of hot keys; the plan is built without a job."""
-    from tracemill.operators.stats import mark_hot
-
+    """The plan is built without a job."""
     df = spark.range(30_000).select((F.col("id") % 3000).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
-    assert mark_hot(df, ["g"], 10).where("hot").select("g").distinct().count() == 3000
-    assert mark_hot(df, ["g"], 11).where("hot").count() == 0
+    assert stats.hot_keys(df, ["g"], 10).count() == 3000
+    cold, hot = stats.split_hot(df, ["g"], 10)
+    assert (cold.count(), hot.count()) == (0, 30_000)
+    cold, hot = stats.split_hot(df, ["g"], 11)
+    assert (cold.count(), hot.count()) == (30_000, 0)
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("plan", "")
     tm.percentiles(df, ["g"], "v", hot_rows=5), tm.cdf(df, ["g"], "v", hot_rows=5)
@@ -69,6 +72,30 @@ def test_every_hot_key_is_split(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_the_largest_keys_are_hot_if_there_are_many(spark, monkeypatch):
+    monkeypatch.setattr(stats, "HOT_KEYS", 2)
+    df = spark.createDataFrame([(g, float(v)) for g, n in (("a", 9), ("b", 7), (None, 8), ("c", 1)) for v in range(n)], "g string, v double")
+    assert {r[0] for r in stats.hot_keys(df, ["g"], 5).collect()} == {"a", None}
+    got = {r.g: (r.n, r.p50) for r in tm.percentiles(df, ["g"], "v", hot_rows=5).collect()}
+    assert got == {"a": (9, pytest.approx(3.5)), "b": (7, pytest.approx(2.5)), None: (8, pytest.approx(3.0)), "c": (1, 0.0)}
+
+
+def exchanges(df):
+    """Exchanges by a hash of columns in the plan before it is run, with their columns."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+
+
+def test_rows_of_a_key_are_brought_together_once(spark, tmp_path):
+    """Without hot keys, all that moves are the rows by key and the counts that find hot keys."""
+    rows = spark.range(1000).select((F.col("id") % 9).alias("g"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    none = spark.createDataFrame([], "_g long")
+    wide = stats.wide_stats(rows, ["g"], {"a": F.col("a"), "b": F.col("b")}, hot=none)
+    wide.collect()
+    final = wide._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"Exchange hashpartitioning", final)) == 1
+
+
 @pytest.fixture(scope="module")
 def groups():
     rng = random.Random(3)

@@ -1,6 +1,7 @@
 from tracemill.functions.addresses import (
     ip_to_number,
     number_to_ip,
+    prefix_length,
     prefix_start,
     slash24_number,
     slash24_text,
@@ -22,6 +23,7 @@ __all__ = [
     "month_start",
     "month_text",
     "number_to_ip",
+    "prefix_length",
     "prefix_start",
     "slash24_number",
     "slash24_text",

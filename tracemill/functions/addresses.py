@@ -27,10 +27,15 @@ def number_to_ip(number: Column) -> Column:
     )
 
 
+def prefix_length(prefix: Column) -> Column:
+    """Number of bits of ``a.b.c.d/len``; NULL when malformed."""
+    return F.get(F.split(prefix, "/"), F.lit(1)).try_cast("int")
+
+
 def prefix_start(prefix: Column) -> Column:
     """Base address of ``a.b.c.d/len``; NULL when malformed."""
     parts = F.split(prefix, "/")
-    length = F.get(parts, F.lit(1)).try_cast("int")
+    length = prefix_length(prefix)
     mask = F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.lit(32) - length)
     return F.when(length.between(0, 32), ip_to_number(F.get(parts, F.lit(0))).bitwiseAND(mask))
 

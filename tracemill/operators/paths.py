@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.operators.stats import HOT_ROWS, mark_hot
+from tracemill.operators.stats import HOT_ROWS, split_hot
 
 
 def path_text(hops: Column | str = "hops") -> Column:
@@ -89,58 +90,96 @@ def path_efficiency(
     )
 
 
-def path_changes(
-    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+def _pieces(
+    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Per key: how often the path differs from the one before, in order of (ts, trace_id).
+    """The timeline of each key in pieces: keys, begin and end (ts, trace_id), first and last path, changes inside.
 
     The timeline of a hot key is cut into stretches, contiguous ranges of (key, ts, trace_id) that Spark
-    samples from the rows themselves. So changes inside stretches and changes between the ends of
-    neighbouring ones add up to the whole, whatever the ids look like and however many traces share a time.
+    samples from the rows themselves, whatever the ids look like and however many traces share a time.
     """
-    rows = mark_hot(label_traces.select(*keys, "ts", "trace_id", path_text().alias("_path")), keys, hot_rows)
-    at = F.struct("ts", "trace_id").alias("_at")
-    cold = rows.where("NOT hot").select(*keys, at, "_path", F.lit(-1).alias("_stretch"))
-    ranges = rows.where("hot").repartitionByRange(*keys, "ts", "trace_id")
-    cut = cold.unionByName(ranges.select(*keys, at, "_path", F.spark_partition_id().alias("_stretch")))
+    rows = label_traces.select(*keys, F.struct("ts", "trace_id").alias("_at"), path_text().alias("_path"))
+    cold, hot_part = split_hot(rows, keys, hot_rows, hot)
+    ranges = hot_part.repartitionByRange(*keys, "_at.ts", "_at.trace_id")
+    parts = [ranges.withColumn("_stretch", F.spark_partition_id())]
+    if keys:
+        parts.append(cold.repartition(*keys).withColumn("_stretch", F.lit(-1)))
+    return reduce(DataFrame.unionByName, [_cut(part, keys) for part in parts])
+
+
+def _cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     before = F.lag("_path").over(Window.partitionBy(*keys, "_stretch").orderBy("_at"))
-    pieces = (
-        cut.withColumn("_changed", (F.col("_path") != before).cast("bigint"))
+    return (
+        rows.withColumn("_changed", (F.col("_path") != before).cast("bigint"))
         .groupBy(*keys, "_stretch")
         .agg(
-            F.coalesce(F.sum("_changed"), F.lit(0)).alias("_inside"),
-            F.min_by("_path", "_at").alias("_first"),
-            F.max_by("_path", "_at").alias("_last"),
+            F.min("_at").alias("begin"),
+            F.max("_at").alias("end"),
+            F.min_by("_path", "_at").alias("first_path"),
+            F.max_by("_path", "_at").alias("last_path"),
+            F.coalesce(F.sum("_changed"), F.lit(0)).alias("changes"),
         )
+        .drop("_stretch")
     )
-    previous = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_stretch"))
-    between = F.coalesce((F.col("_first") != previous).cast("bigint"), F.lit(0))
+
+
+def join_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One piece for each key, from pieces that do not overlap: changes inside add up, and those between neighbours."""
+    previous = F.lag("last_path").over(Window.partitionBy(*keys).orderBy("begin"))
+    between = F.coalesce((F.col("first_path") != previous).cast("bigint"), F.lit(0))
     return (
-        pieces.withColumn("_both", F.col("_inside") + between)
+        pieces.withColumn("changes", F.col("changes") + between)
         .groupBy(*keys)
-        .agg(F.sum("_both").alias("num_changes"))
+        .agg(
+            F.min("begin").alias("begin"),
+            F.max("end").alias("end"),
+            F.min_by("first_path", "begin").alias("first_path"),
+            F.max_by("last_path", "end").alias("last_path"),
+            F.sum("changes").alias("changes"),
+        )
     )
 
 
+def path_timeline(
+    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
+    """Per key: begin and end (ts, trace_id), first and last path, and how often the path differs from the one before."""
+    return join_pieces(_pieces(label_traces, keys, hot_rows, hot), keys)
+
+
+def path_changes(
+    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> DataFrame:
+    """Per key: how often the path differs from the one before, in order of (ts, trace_id)."""
+    timeline = path_timeline(label_traces, keys, hot_rows, hot)
+    return timeline.select(*keys, F.col("changes").alias("num_changes"))
+
+
+def path_counts(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key and path: number of traces ``c``."""
+    paths = label_traces.select(*keys, path_text().alias("path"))
+    return paths.groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("c"))
+
+
 def path_prevalence(
-    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
     """Per key: share of the most frequent path, path changes over time, distinct paths, that path.
 
     Among equally frequent paths the lexicographically smallest is the dominant one. The traces are
     read more than once, so pass a stored table.
     """
-    counts = (
-        label_traces.select(*keys, path_text().alias("path"))
-        .groupBy(*keys, "path")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    return prevalence_of(path_counts(label_traces, keys), path_changes(label_traces, keys, hot_rows, hot), keys)
+
+
+def prevalence_of(counts: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same, from ``path_counts`` and ``path_changes``."""
     dominant = counts.groupBy(*keys).agg(
         (F.max("c") / F.sum("c")).alias("prevalence"),
         F.count("path").alias("num_paths"),
         F.min_by("path", F.struct(-F.col("c"), F.col("path"))).alias("dominant_path"),
     )
     # Both tables have one row per key. Grouping brings these together, a NULL key included.
-    both = dominant.unionByName(path_changes(label_traces, keys, hot_rows), allowMissingColumns=True)
+    both = dominant.unionByName(changes.select(*keys, "num_changes"), allowMissingColumns=True)
     columns = ["prevalence", "num_changes", "num_paths", "dominant_path"]
     return both.groupBy(*keys).agg(*[F.max(name).alias(name) for name in columns])

@@ -6,8 +6,9 @@ there are n, and a percentile is interpolated linearly between neighbouring poin
 being the anchor (0, 0). Steps are added up one by one, and the probability of a point is rounded to two
 decimals, so both are computed here the same way and not as k/n.
 
-A key may hold any share of the rows. Values are counted first, so equal values become one row before
-the shuffle, and the values of a hot key are spread over narrow value buckets. Only one row per bucket is
+A key may hold any share of the rows. Rows of a key come together by one exchange, and all steps work inside these
+partitions. Hot keys go another way: their values are counted first, so equal values become one row before
+the shuffle, and spread over narrow value buckets. Only one row per bucket is
 ever brought together for a whole hot key, to learn how many values lie below each bucket. Hot keys are
 found by their exact sizes, as part of the same plan; which keys are spread has no influence on any result.
 """
@@ -15,6 +16,7 @@ found by their exact sizes, as part of the same plan; which keys are spread has
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,10 @@ FULL = 100
 TOLERANCE = 1e-6
 # Buckets of a hot key per doubling of (1 + |value|).
 BUCKETS_PER_DOUBLING = 4096
-# A key is hot from this many rows on. There is at most one hot key for each HOT_ROWS rows of the table, and
-# that is what is broadcast: a million keys at 10^12 rows.
+# A key is hot from this many rows on.
 HOT_ROWS = 1_000_000
+# So many hot keys are broadcast at most.
+HOT_KEYS = 100_000
 
 
 def coefficient_of_variation(avg: Column, stdev: Column) -> Column:
@@ -134,84 +137,99 @@ def _reached(rank: Column, n: Column, probability: Column) -> Column:
     return (share >= probability) | (F.abs(share - probability) < TOLERANCE)
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int, name: str = "hot") -> DataFrame:
-    """Add ``name``: whether the key of the row has at least ``hot_rows`` rows. NULL is a key like others.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with ``hot_rows`` rows at least, NULL among them, as columns named ``_<key>``.
 
-    Without keys all rows are one group, which is always split.
+    Of more than HOT_KEYS the largest: any other key then holds less than one part in HOT_KEYS of all rows.
+    """
+    named = [F.col(key).alias(f"_{key}") for key in keys]
+    sizes = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
+    names = [f"_{key}" for key in keys]
+    return sizes.orderBy(F.desc("_rows"), *names).limit(HOT_KEYS).select(*names)
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of other keys, and rows of hot ones. Without keys all rows are one group, which is always split.
+
+    ``hot``: what ``hot_keys`` has found already. Its size is bounded, so it is broadcast. Where no key is hot, Spark drops
+    the work on the second part when it comes to it.
     """
     if not keys:
-        return df.withColumn(name, F.lit(True))
-    sizes = df.groupBy(*[F.col(key).alias(f"_{key}") for key in keys]).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") >= hot_rows)
+        return df.where(F.lit(False)), df
+    found = F.broadcast(hot_keys(df, keys, hot_rows) if hot is None else hot)
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
-    marked = df.join(F.broadcast(hot), same, "left")
-    return marked.withColumn(name, F.coalesce(F.col("_rows") >= hot_rows, F.lit(False))).drop(
-        "_rows", *[f"_{key}" for key in keys]
-    )
+    return df.join(found, same, "left_anti"), df.join(found, same, "left_semi")
 
 
-def _below(present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per bucket of a hot key: how many values lie below it, and the key's totals."""
-    whole_key = Window.partitionBy(*keys)
-    below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        present.where("hot")
-        .groupBy(*keys, "bucket")
-        .agg(F.count(F.lit(1)).alias("cell_n"), F.sum("value").alias("cell_total"))
+def _together(df: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:
+    """All rows of a key in one partition: the one exchange that counting, ranking and summing need. ``placed``: they are."""
+    return df if placed or not keys else df.repartition(*keys)
+
+
+def _counted(rows: DataFrame, cell: Sequence[str], weight: str | None, least: str | None) -> DataFrame:
+    """Equal values once, with their number ``c``; NULL and NaN do not count."""
+    present = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    carried = [F.min(least).alias(least)] if least else []
+    return present.groupBy(*cell, "value").agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("c"), *carried
     )
-    return cells.select(
-        *[F.col(key).alias(f"_{key}") for key in [*keys, "bucket"]],
-        F.coalesce(F.sum("cell_n").over(below), F.lit(0)).alias("key_below"),
-        F.sum("cell_n").over(whole_key).alias("key_n"),
-        F.sum("cell_total").over(whole_key).alias("key_total"),
+
+
+def _in_cell(counted: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Add upto (rank of the last equal value), n and total inside each cell."""
+    c, whole = F.col("c"), Window.partitionBy(*cell)
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.withColumns(
+        {"upto": F.sum(c).over(upto), "n": F.sum(c).over(whole), "total": F.sum(c * F.col("value")).over(whole)}
     )
 
 
-def _ranked(
-    marked: DataFrame,
-    keys: Sequence[str],
-    min_count: int | None = None,
-    least: str | None = None,
+def _cold_ranks(
+    rows: DataFrame, keys: Sequence[str], weight: str | None = None, least: str | None = None
 ) -> DataFrame:
     """Distinct values with the ranks they cover: keys, value, c, after (exclusive), upto, n, avg.
 
-    ``marked`` has a boolean ``hot``. ``least``: a column whose minimum travels along.
+    ``rows``: keys and value, rows of a key together. ``weight``: a column that says how often a row counts; ``least``: one whose
+    minimum travels along.
     """
-    c, value = F.col("c"), F.col("value")
+    ranked = _in_cell(_counted(rows, keys, weight, least), keys)
+    return _finished(ranked.withColumn("avg", F.col("total") / F.col("n")), keys, least)
+
+
+def _hot_ranks(
+    rows: DataFrame, keys: Sequence[str], weight: str | None = None, least: str | None = None
+) -> DataFrame:
+    """The same for keys of any size, whose values are spread over buckets."""
+    value = F.col("value")
     # All values of a bucket lie below those of the next.
     spread = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BUCKETS_PER_DOUBLING)
-    present = marked.where(value.isNotNull() & ~F.isnan(value)).withColumn(
-        "bucket", F.when(F.col("hot"), spread)
-    )
     cell = [*keys, "bucket"]
-    carried = [F.min(least).alias(least)] if least else []
-    counted = present.groupBy(*cell, "value").agg(F.count(F.lit(1)).alias("c"), *carried)
-
-    whole_cell = Window.partitionBy(*cell)
-    upto = whole_cell.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumns(
-        {
-            "upto": F.sum(c).over(upto),
-            "n": F.sum(c).over(whole_cell),
-            "total": F.sum(c * value).over(whole_cell),
-        }
+    counted = _counted(rows.withColumn("bucket", spread), cell, weight, least)
+    whole_key = Window.partitionBy(*keys)
+    below = whole_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.groupBy(*cell).agg(F.sum("c").alias("cell_n"), F.sum(F.col("c") * value).alias("cell_total"))
+    shifts = cells.select(
+        *[F.col(key).alias(f"_{key}") for key in cell],
+        F.coalesce(F.sum("cell_n").over(below), F.lit(0)).alias("key_below"),
+        F.sum("cell_n").over(whole_key).alias("key_n"),
+        F.sum("cell_total").over(whole_key).alias("key_total"),
     )
-    # Only hot keys have rows here. A bucket that is NULL is a whole key.
     same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in cell]
-    shifted = ranked.join(_below(present, keys), same, "left")
-    n = F.coalesce("key_n", "n")
-    placed = shifted.select(
-        *keys,
-        *([least] if least else []),
-        "value",
-        "c",
-        (F.col("upto") + F.coalesce("key_below", F.lit(0))).alias("upto"),
-        n.alias("n"),
-        (F.coalesce("key_total", "total") / n).alias("avg"),
+    placed = _in_cell(counted, cell).join(shifts, same).withColumns(
+        {
+            "upto": F.col("upto") + F.col("key_below"),
+            "n": F.col("key_n"),
+            "avg": F.col("key_total") / F.col("key_n"),
+        }
     )
-    if min_count is not None:
-        placed = placed.where(F.col("n") >= min_count)
-    return placed.withColumn("after", F.col("upto") - c)
+    return _finished(placed, keys, least)
+
+
+def _finished(ranked: DataFrame, keys: Sequence[str], least: str | None) -> DataFrame:
+    carried = [least] if least else []
+    return ranked.select(*keys, *carried, "value", "c", "upto", "n", "avg", (F.col("upto") - F.col("c")).alias("after"))
 
 
 def _with_points(df: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
@@ -220,22 +238,11 @@ def _with_points(df: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
     return df.join(small, F.col("n") == F.col("size"), "left").drop("size")
 
 
-def stat6(
-    long: DataFrame,
-    keys: Sequence[str],
-    min_count: int | None = None,
-    hot_rows: int = HOT_ROWS,
-    least: str | None = None,
-) -> DataFrame:
-    """Statistics of ``value`` per ``keys`` and ``metric``: n, min, max, avg, stdev, cv, p25 ... p99.
-
-    NULL and NaN values do not count. ``min_count`` keeps only groups with that many values. ``least`` names
-    a column whose minimum comes along. Without a column ``hot`` (see ``as_long``) hot keys are found here.
-    """
-    groups = [*keys, "metric"]
-    marked = long if "hot" in long.columns else mark_hot(long, groups, hot_rows)
-    points = small_group_points(long.sparkSession)
-    ranked = _with_points(_ranked(marked, groups, min_count, least), points, "hi")
+def _summary(ranked: DataFrame, groups: Sequence[str], min_count: int | None, least: str | None) -> DataFrame:
+    """n, min, max, avg, stdev, cv, p25 ... p99 per group of ranked values."""
+    points = small_group_points(ranked.sparkSession)
+    enough = ranked if min_count is None else ranked.where(F.col("n") >= min_count)
+    known = _with_points(enough, points, "hi")
     n, upto, value = F.col("n"), F.col("upto"), F.col("value")
     full = _full_probabilities()
     highs, lows = [], []
@@ -245,7 +252,7 @@ def stat6(
         highs.append(F.min(F.when(high, value)).alias(f"high{p}"))
         lows.append(F.min(F.when((rank > 1) & (upto >= rank - 1), value)).alias(f"low{p}"))
     distance = value - F.col("avg")
-    summary = ranked.groupBy(*groups).agg(
+    summary = known.groupBy(*groups).agg(
         F.any_value("n").alias("n"),
         F.any_value("avg").alias("avg"),
         F.min(value).alias("min"),
@@ -255,7 +262,8 @@ def stat6(
         *highs,
         *lows,
     )
-    weighted = _with_points(summary, points, "gap", "over")
+    # Without groups an empty table has one row of NULLs.
+    weighted = _with_points(summary.where(n.isNotNull()), points, "gap", "over")
     stdev = F.sqrt(F.col("squares") / n)
     return weighted.select(
         *groups,
@@ -270,35 +278,63 @@ def stat6(
     )
 
 
-def _interpolated(i: int, p: int) -> Column:
-    high = F.col(f"high{p}")
-    # Nothing has rank 0: the anchor.
-    low = F.coalesce(F.col(f"low{p}"), F.lit(0.0))
-    between = low + (high - low) / F.get("gap", F.lit(i)) * F.get("over", F.lit(i))
-    return F.when(F.col("n") >= FULL, high).otherwise(between)
+def stat6(
+    long: DataFrame,
+    keys: Sequence[str],
+    min_count: int | None = None,
+    hot_rows: int = HOT_ROWS,
+    weight: str | None = None,
+) -> DataFrame:
+    """Statistics of ``value`` per ``keys`` and ``metric``: n, min, max, avg, stdev, cv, p25 ... p99.
 
+    NULL and NaN values do not count. ``min_count`` keeps only groups with that many values. ``weight`` names a column
+    that says how often a row counts, as in a table of counted values.
+    """
+    groups = [*keys, "metric"]
+    cold, hot = split_hot(long, groups, hot_rows)
+    ranks = [_cold_ranks(_together(cold, groups), groups, weight), _hot_ranks(hot, groups, weight)]
+    return _summary(ranks[0], groups, min_count, None).unionByName(_summary(ranks[1], groups, min_count, None))
 
-def as_long(
+
+def wide_stats(
     df: DataFrame,
     keys: Sequence[str],
     metrics: dict[str, Column],
+    min_count: int | None = None,
     hot_rows: int = HOT_ROWS,
     least: str | None = None,
+    hot: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
-    """One row per metric: keys, metric, value, hot. Keys are sized before the rows are multiplied."""
-    cells = [
-        cell for name, column in metrics.items() for cell in (F.lit(name), column.cast("double"))
-    ]
+    """One row per key with ``<metric>_<stat>`` of every metric; ``n`` is that of the first one.
+
+    ``least`` names a column whose minimum comes along, also from the rows of the first metric. ``hot``: see
+    ``split_hot``. ``placed``: rows of a key are together already, as in a table bucketed by keys.
+
+    Rows of a key are brought together before they are multiplied by the metrics. Everything after works
+    inside these partitions; only hot keys take further exchanges.
+    """
     carried = [*keys, *([least] if least else [])]
-    named = {f"_m{k}": cells[2 * k + 1] for k in range(len(metrics))}
-    narrow = df.select(*carried, *[column.alias(name) for name, column in named.items()])
-    stacked = [cell for k in range(len(metrics)) for cell in (cells[2 * k], F.col(f"_m{k}"))]
-    return mark_hot(narrow, keys, hot_rows).select(
-        *carried, "hot", F.stack(F.lit(len(metrics)), *stacked).alias("metric", "value")
-    )
+    narrow = df.select(*carried, *[column.cast("double").alias(f"_m{k}") for k, column in enumerate(metrics.values())])
+    cells = [cell for k, name in enumerate(metrics) for cell in (F.lit(name), F.col(f"_m{k}"))]
+    stack = F.stack(F.lit(len(metrics)), *cells).alias("metric", "value")
+    parts = split_hot(narrow, keys, hot_rows, hot)
+    cold = _together(parts[0], keys, placed).select(*carried, stack)
+    groups = [*keys, "metric"]
+    ranks = [_cold_ranks(cold, groups, None, least), _hot_ranks(parts[1].select(*carried, stack), groups, None, least)]
+    wide = [_as_wide(_summary(ranked, groups, min_count, least), keys, list(metrics), least) for ranked in ranks]
+    return wide[0].unionByName(wide[1])
+
+
+def _interpolated(i: int, p: int) -> Column:
+    high = F.col(f"high{p}")
+    # Nothing has rank 0: the anchor.
+    low = F.coalesce(F.col(f"low{p}"), F.lit(0.0))
+    between = low + (high - low) / F.get("gap", F.lit(i)) * F.get("over", F.lit(i))
+    return F.when(F.col("n") >= FULL, high).otherwise(between)
 
 
-def as_wide(
+def _as_wide(
     stats: DataFrame, keys: Sequence[str], metrics: Sequence[str], least: str | None = None
 ) -> DataFrame:
     """One row per key with columns ``<metric>_<stat>``; ``n`` and ``least`` are those of the first metric."""
@@ -313,21 +349,40 @@ def as_wide(
     )
 
 
+def _ranked(
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int, weight: str | None
+) -> list[DataFrame]:
+    """Ranks of one column, of the keys that are not hot and of those that are."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("value"), *([weight] if weight else []))
+    cold, hot = split_hot(rows, keys, hot_rows)
+    hot_ranks = _hot_ranks(hot, keys, weight)
+    return [_cold_ranks(_together(cold, keys), keys, weight), hot_ranks] if keys else [hot_ranks]
+
+
+def value_stats(
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
+) -> DataFrame:
+    """Per key: n, min, max, avg, stdev, cv and the six percentiles. ``weight``: a column that says how often a row counts."""
+    parts = [_summary(ranked, keys, None, None) for ranked in _ranked(df, keys, value, hot_rows, weight)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
 ) -> DataFrame:
     """Per key: n and the six percentiles."""
-    long = as_long(df, keys, {"value": F.col(value)}, hot_rows)
-    return stat6(long, keys).select(*keys, "n", *[f"p{p}" for p in PERCENTILES])
+    return value_stats(df, keys, value, hot_rows, weight).select(*keys, "n", *[f"p{p}" for p in PERCENTILES])
 
 
 def cdf(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
 ) -> DataFrame:
     """Per key: the points (prob, value) of the empirical distribution, with the anchor (0, 0)."""
-    long = df.select(*keys, F.col(value).cast("double").alias("value"))
-    points = small_group_points(df.sparkSession)
-    ranked = _with_points(_ranked(mark_hot(long, keys, hot_rows), keys), points, "probs")
+    return reduce(DataFrame.unionByName, [_points(ranked, keys) for ranked in _ranked(df, keys, value, hot_rows, weight)])
+
+
+def _points(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ranked = _with_points(ranks, small_group_points(ranks.sparkSession), "probs")
     n, after, upto = F.col("n"), F.col("after"), F.col("upto")
     # Points first reached by this value: those near its share of ranks, then exactly.
     lowest = F.greatest(F.lit(1), F.floor(after * FULL / n) - 1)

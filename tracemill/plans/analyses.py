@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.floor_join import BROADCAST_ROWS
 from tracemill.operators.labelling import compress, label_coverage, label_hops
 from tracemill.plans import reports as R
-from tracemill.sources import check_lines, clean_lines, read_ip_map, read_lines, split_checked, write_report
+from tracemill.sources import check_lines, clean_lines, read_ip_map, read_lines, read_prefix_map, split_checked, write_report
 
 # Years reported by default.
 YEARS = (2008, 2009, 2010, 2011, 2012, 2013)
@@ -73,18 +73,21 @@ def label_dataset(
     out_path: str,
     partitions: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    prefixes: bool = False,
 ) -> str:
     """Read and label a dataset once, for every analysis; returns the path of the labelled hops.
 
     The table is stored by year with both labels of each hop. Rejected trace and map lines are
     written next to it. Text is read and parsed once, into a table below ``out_path`` that all else comes from.
+    ``prefixes``: the map has lines of prefixes, which may be nested, and not of range starts.
     """
     checked_path = f"{out_path}/checked_lines"
     check_lines(clean_lines(read_lines(spark, traces_path, dataset), dataset), dataset).write.parquet(checked_path)
     traces, bad_lines = split_checked(spark.read.parquet(checked_path))
     if partitions is not None:
         traces = traces.repartition(partitions, "trace_id")
-    ip_map, bad_map_lines = read_ip_map(spark, map_path)
+    read_map = read_prefix_map if prefixes else read_ip_map
+    ip_map, bad_map_lines = read_map(spark, map_path)
     labelled_path = f"{out_path}/labelled_hops"
     labelled = label_hops(traces, ip_map, broadcast_rows)
     # Each year gets as many files as it needs, not one from every task.

@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import utc_year
 from tracemill.operators.paths import links, path_prevalence
-from tracemill.operators.stats import HOT_ROWS, as_long, as_wide, moments, stat6
+from tracemill.operators.stats import HOT_ROWS, hot_keys, moments, value_stats, wide_stats
 
 YEAR = ("year",)
-PAIR_METRICS = ("latency", "hops", "raw_hops")
-EDGE_METRICS = ("latency", "first_inside", "first_link", "last_link", "last_inside", "inside")
 
 
 def slice_years(label_traces: DataFrame, years: Sequence[int] | None) -> DataFrame:
@@ -53,18 +51,20 @@ def pair_stats(
     prevalence: bool = True,
     by: Sequence[str] = YEAR,
     hot_rows: int = HOT_ROWS,
+    placed: bool = False,
 ) -> DataFrame:
     """Per pair: n, statistics of latency, hops and raw hops, and how prevalent its main path is.
 
-    Each part reads its own columns of the traces, so pass a stored table.
+    Each part reads its own columns of the traces, so pass a stored table; hot pairs are found once for all parts.
+    ``placed``: rows of a pair are together already, as in a table bucketed by ``keys``.
     """
     groups = [*by, *keys]
     metrics = {"latency": F.col("e2e"), "hops": F.col("num_hops"), "raw_hops": F.col("raw_hops")}
-    stats = stat6(as_long(label_traces, groups, metrics, hot_rows), groups, min_count)
-    wide = as_wide(stats, groups, PAIR_METRICS)
+    hot = hot_keys(label_traces, groups, hot_rows)
+    wide = wide_stats(label_traces, groups, metrics, min_count, hot=hot, placed=placed)
     if not prevalence:
         return wide
-    paths = path_prevalence(label_traces, groups, hot_rows)
+    paths = path_prevalence(label_traces, groups, hot_rows, hot)
     paths = paths.toDF(*[f"_{name}" if name in groups else name for name in paths.columns])
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in groups]
     return wide.join(paths, same).drop(*[f"_{name}" for name in groups])
@@ -98,10 +98,8 @@ def link_stats(
 ) -> DataFrame:
     """Per directed link: n and statistics of the latency on it."""
     groups = [*by, "link_src", "link_dst"]
-    long = as_long(links(_with_year(label_traces)), groups, {"lat": F.col("lat")}, hot_rows)
-    return stat6(long, groups).drop("metric").withColumn(
-        "link", F.concat_ws(" ", "link_src", "link_dst")
-    )
+    stats = value_stats(links(_with_year(label_traces)), groups, "lat", hot_rows)
+    return stats.withColumn("link", F.concat_ws(" ", "link_src", "link_dst"))
 
 
 def degree_dist(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
@@ -119,6 +117,7 @@ def edge_stats(
     keys: Sequence[str] = ("from_ip", "dst"),
     by: Sequence[str] = YEAR,
     hot_rows: int = HOT_ROWS,
+    placed: bool = False,
 ) -> DataFrame:
     """Per pair whose traces all cross a border: the share of first and last segments in the latency.
 
@@ -134,9 +133,7 @@ def edge_stats(
         "last_inside": _share(F.size("segment_lats") - 1),
         "inside": F.col("inside_pct"),
     }
-    long = as_long(label_traces, groups, metrics, hot_rows, least="num_hops")
-    stats = stat6(long, groups, least="num_hops")
-    wide = as_wide(stats, groups, list(metrics), least="num_hops")
+    wide = wide_stats(label_traces, groups, metrics, hot_rows=hot_rows, least="num_hops", placed=placed)
     return wide.where(F.col("num_hops") > 1).drop("num_hops")
 
 

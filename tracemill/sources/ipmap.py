@@ -13,7 +13,12 @@ from tracemill.functions import prefix_start
 
 def read_ip_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(ip_map, bad_lines)`` of lines ``start as code [city]``."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+    return parse_ip_map(map_lines(spark, path))
+
+
+def map_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines below ``path`` with a ``line_order`` that follows their place in their file."""
+    return spark.read.option("recursiveFileLookup", True).text(path).select(
         "value",
         # Blocks of one file may be read in any order; inside a block the id grows line by line.
         F.struct(
@@ -22,21 +27,21 @@ def read_ip_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             F.monotonically_increasing_id().alias("line"),
         ).alias("line_order"),
     )
-    return parse_ip_map(lines)
 
 
-def parse_ip_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(ip_map, bad_lines)`` of lines with ``value`` and a sortable ``line_order``."""
+def parse_labels(lines: DataFrame) -> DataFrame:
+    """Lines with their ``words`` and the labels in words 1 to 3: ``as_no`` and ``geo``."""
     words = lines.withColumn("words", F.split(F.regexp_replace("value", r"\s+$", ""), r"\s+"))
     code = F.upper(F.get("words", F.lit(2)))
     city = F.upper(F.get("words", F.lit(3)))
-    typed = words.select(
-        "value",
-        "line_order",
-        F.get("words", F.lit(0)).try_cast("bigint").alias("range_start"),
-        F.get("words", F.lit(1)).alias("as_no"),
-        F.when(F.size("words") > 3, F.concat(city, F.lit("@"), code)).otherwise(code).alias("geo"),
-    )
+    geo = F.when(F.size("words") > 3, F.concat(city, F.lit("@"), code)).otherwise(code)
+    return words.withColumns({"as_no": F.get("words", F.lit(1)), "geo": geo})
+
+
+def parse_ip_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(ip_map, bad_lines)`` of lines with ``value`` and a sortable ``line_order``."""
+    start = F.get("words", F.lit(0)).try_cast("bigint")
+    typed = parse_labels(lines).select("value", "line_order", start.alias("range_start"), "as_no", "geo")
     # A start outside the IPv4 space, or none, or no geo code
     good = F.coalesce(F.col("range_start").between(0, 2**32 - 1), F.lit(False)) & F.col("geo").isNotNull()
     ip_map = (

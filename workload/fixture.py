@@ -194,6 +194,33 @@ def map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prefix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map lines of nested prefixes, six for each supplier; in order, since equal ones follow each other.
+
+    A wide one over many suppliers, the /16 of most, one of 24 to 32 bits anywhere among the addresses in use, two touching
+    quarters of a /24, and for some suppliers the first quarter again.
+    """
+    s = F.col("s_suppkey")
+    quarter = lambda k: _address(s, 64 * ((s + k) % 4))
+    kinds = [
+        ("", _address(s, 12345), 12 + s % 3),
+        ("B", F.when(s % 4 != 0, _address(s, 0)), F.lit(16)),
+        ("C", _address(s, s * 37 % 256), 24 + s % 9),
+        ("D", quarter(0), F.lit(26)),
+        ("E", quarter(1), F.lit(26)),
+        ("F", F.when(s % 5 == 0, quarter(0)), F.lit(26)),
+    ]
+    rows = [
+        F.struct(F.lit(k).alias("kind"), number_to_ip(at).alias("at"), at.alias("number"), bits.cast("string").alias("bits"), F.lit(tail).alias("tail"))
+        for k, (tail, at, bits) in enumerate(kinds)
+    ]
+    city = F.when(F.col("s_acctbal") > 0, F.col("city"))
+    each = labelled_suppliers(spark, sf_dir).select("*", F.inline(F.array(*rows))).where("number IS NOT NULL")
+    return each.orderBy("s_suppkey", "kind").select(
+        F.concat_ws(" ", F.concat_ws("/", "at", "bits"), F.concat("as_no", "tail"), F.lower("code"), city).alias("value")
+    )
+
+
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prefix per supplier, of 16 to 24 bits, with bits set below the prefix length."""
     suppliers = labelled_suppliers(spark, sf_dir)

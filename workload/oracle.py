@@ -437,6 +437,23 @@ SELECT src, dst, 0.0::DOUBLE AS efficiency, 0.0::DOUBLE AS entropy,
   CAST(count(DISTINCT path) AS INTEGER) AS num_paths FROM lt GROUP BY src, dst""",
     "path_prevalence": f"""WITH {_lt('geo')}, {_prevalence(['src', 'dst'])}
 SELECT src, dst, {_r('prevalence', 'prevalence')}, num_changes, num_paths, dominant_path FROM prev""",
+    "cidr_floor_join": f"""WITH {_hops()}, {SUPPLIERS},
+kinds AS (
+  SELECT *, {_address('s_suppkey', '12345')} AS ip, 12 + s_suppkey % 3 AS len, '' AS tail, 0 AS kind FROM suppliers
+  UNION ALL SELECT *, {_address('s_suppkey')}, 16, 'B', 1 FROM suppliers WHERE s_suppkey % 4 <> 0
+  UNION ALL SELECT *, {_address('s_suppkey', 's_suppkey * 37 % 256')}, 24 + s_suppkey % 9, 'C', 2 FROM suppliers
+  UNION ALL SELECT *, {_address('s_suppkey', '64 * (s_suppkey % 4)')}, 26, 'D', 3 FROM suppliers
+  UNION ALL SELECT *, {_address('s_suppkey', '64 * ((s_suppkey + 1) % 4)')}, 26, 'E', 4 FROM suppliers
+  UNION ALL SELECT *, {_address('s_suppkey', '64 * (s_suppkey % 4)')}, 26, 'F', 5 FROM suppliers WHERE s_suppkey % 5 = 0),
+prefixes AS (
+  SELECT ip - ip % CAST(2 ** (32 - len) AS BIGINT) AS low, CAST(2 ** (32 - len) AS BIGINT) AS size,
+    len * 10000000000 + s_suppkey * 10 + kind AS place, as_no || tail AS as_no,
+    CASE WHEN s_acctbal > 0 THEN upper(city) || '@' || upper(code) ELSE upper(code) END AS geo FROM kinds),
+addresses AS (SELECT DISTINCT ip FROM hops),
+longest AS (
+  SELECT ip, arg_max(as_no, place) AS as_no, arg_max(geo, place) AS geo
+  FROM addresses JOIN prefixes ON ip >= low AND ip < low + size GROUP BY ip)
+SELECT trace_id, CAST(pos AS INTEGER) AS pos, ip, as_no, geo FROM hops LEFT JOIN longest USING (ip)""",
     "cidr_normalise": f"""WITH {SUPPLIERS},
 p AS (SELECT *, {_address('s_suppkey', '12345')} AS ip, 16 + s_suppkey % 9 AS len FROM suppliers)
 SELECT {_ip_text('ip')} || '/' || len AS prefix, as_no, geo,
@@ -458,3 +475,8 @@ SELECT strftime(day, '%Y%m%d') AS day, count(*) AS n, {_moments('e2e')} FROM t G
 ORACLE["agg_percentiles_hot"] = ORACLE["agg_percentiles"]
 ORACLE["agg_cdf_hot"] = ORACLE["agg_cdf"]
 ORACLE["path_prevalence_hot"] = ORACLE["path_prevalence"]
+ORACLE["counts_percentiles"] = ORACLE["agg_percentiles"]
+ORACLE["counts_cdf"] = ORACLE["agg_cdf"]
+ORACLE["counts_latency_hist"] = ORACLE["latency_hist_city"]
+ORACLE["counts_moments"] = ORACLE["agg_moments"]
+ORACLE["path_prevalence_appended"] = ORACLE["path_prevalence"]

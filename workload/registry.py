@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import tracemill as tm
 from tracemill.functions import day_start, day_text, month_text
+from tracemill.operators.stats import PERCENTILES
 from tracemill.session import scratch_path, stored
 from workload import fixture as fx
 
@@ -134,6 +135,13 @@ def src_ipmap(spark: SparkSession, sf: str) -> DataFrame:
     return tm.read_ip_map(spark, path)[0]
 
 
+def cidr_floor_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Longest-prefix labels of all hops, from a file of nested prefixes."""
+    path = _files(spark, fx.prefix_lines(spark, sf), "prefixes", gzip=False)
+    ip_map = stored(tm.read_prefix_map(spark, path)[0], "ip-map")
+    return tm.floor_lookup(tm.explode_hops(fx.traces(spark, sf)), ip_map).select("trace_id", "pos", "ip", "as_no", "geo")
+
+
 def bad_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = fx.broken_lines(fx.traces(spark, sf))
     return tm.parse_lines(lines, "IPLANE")[1].select("value", "reason")
@@ -265,6 +273,57 @@ def degree_rank(spark: SparkSession, sf: str) -> DataFrame:
     return degrees.withColumn("place", F.row_number().over(order))
 
 
+def _count_parts(spark: SparkSession, sf: str, table, keys: list[str], metrics) -> DataFrame:
+    """Counted values of three parts, read together; the first one held other traces before it was written again."""
+    label_traces = stored(table(spark, sf), "label-traces")
+    path = scratch_path(spark, "counts")
+    third = F.pmod(F.xxhash64("trace_id"), F.lit(3))
+    for part, rows in ((1, third != 2), (2, third == 2), (0, third == 0), (1, third == 1)):
+        tm.write_part(tm.value_counts(label_traces.where(rows), keys, metrics), path, str(part))
+    return tm.read_parts(spark, path)
+
+
+def counts_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _count_parts(spark, sf, _geo, ["year", "src", "dst"], {"e2e": F.col("e2e"), "hops": F.col("num_hops")})
+    stats = tm.count_stats(counts, ["src", "dst"], hot_rows=HOT_ROWS).where("metric = 'e2e'")
+    return _rounded(stats.select("src", "dst", "n", *[f"p{p}" for p in PERCENTILES]))
+
+
+def counts_cdf(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _count_parts(spark, sf, _geo, ["year", "src", "dst"], {"e2e": F.col("e2e")})
+    return _rounded(tm.count_cdf(counts, ["src", "dst"]).drop("metric"))
+
+
+def counts_latency_hist(spark: SparkSession, sf: str) -> DataFrame:
+    def table(spark, sf):
+        return _label(spark, sf, "geo", shift=SHIFT - 0.5)
+
+    counts = _count_parts(spark, sf, table, ["year", "src", "dst"], {"e2e": F.col("e2e")})
+    return tm.count_histogram(counts, ["year"], "e2e", "latency")
+
+
+def counts_moments(spark: SparkSession, sf: str) -> DataFrame:
+    def table(spark, sf):
+        return _label(spark, sf, "as", shift=SHIFT).withColumn("e2e", F.col("e2e") * SCALE)
+
+    counts = _count_parts(spark, sf, table, ["year", "src", "dst"], {"e2e": F.col("e2e")})
+    stats = tm.count_stats(counts, ["year", "src"])
+    variance = (F.col("stdev") * F.col("stdev")).alias("variance")
+    return _rounded(stats.select("year", "src", "n", "min", "max", variance, "avg", "stdev", "cv"))
+
+
+def path_prevalence_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts written out of order; one of them overlaps another in time."""
+    label_traces = stored(_geo(spark, sf), "label-traces")
+    path, keys = scratch_path(spark, "paths"), ["src", "dst"]
+    stray = F.pmod(F.xxhash64("trace_id"), F.lit(10)) == 0
+    late = F.col("year") >= 1998
+    parts = {"late": late & ~stray, "stray": late & stray, "early": F.col("year") < 1997, "middle": F.col("year") == 1997}
+    for part, rows in parts.items():
+        tm.write_paths(label_traces.where(rows), keys, path, part)
+    return _rounded(tm.read_prevalence(spark, path, keys, label_traces, hot_rows=HOT_ROWS))
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tm.links(_as(spark, sf)))
 
@@ -383,6 +442,12 @@ QUERIES: dict[str, Query] = {
     "path_prevalence_hot": _on(
         _geo_stored, lambda lt: tm.path_prevalence(lt, ["src", "dst"], hot_rows=HOT_ROWS)
     ),
+    "counts_percentiles": counts_percentiles,
+    "counts_cdf": counts_cdf,
+    "counts_latency_hist": counts_latency_hist,
+    "counts_moments": counts_moments,
+    "path_prevalence_appended": path_prevalence_appended,
+    "cidr_floor_join": cidr_floor_join,
     "cidr_normalise": lambda spark, sf: tm.normalise_cidr(fx.prefixes(spark, sf)),
     "rollup_slash24": rollup_slash24,
     "rollup_slash24_text": rollup_slash24_text,
