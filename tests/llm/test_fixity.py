@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from tracemill.llm import fixity
 from tracemill.llm.fixity import audit, damaged, trees, warc_records
 
 SCHEMA = "page_id long, url string, html string, offset string, node string, hash string"
@@ -62,3 +63,31 @@ def test_only_branches_that_differ_are_opened(spark, pages):
 
 def test_empty(pages):
     assert audit(warc_records(pages.limit(0)), warc_records(pages.limit(0))).count() == 0
+
+
+def test_copies_of_one_key(spark, same, monkeypatch):
+    """Nodes over four copies, so that a key with 300 of them has a tree of several levels; some bytes differ or are gone."""
+    monkeypatch.setattr(fixity, "COPY_RANGE", 4)
+    rows = [(5, "u", f"copy {k % 250}") for k in range(300)] + [(k, "v", "x") for k in range(20)]
+    damage = [(i, u, h + "!" if h == "copy 17" else h) for i, u, h in rows if h != "copy 99"]
+    one, two = (warc_records(spark.createDataFrame(r, "page_id long, url string, html string").repartition(3)) for r in (rows, damage))
+    got = audit(one, two).collect()
+    same([(r.record_key, r.digest, r.digest_2, r.status) for r in got], plain(one, two))
+    assert audit(one, one).count() == 0
+    leaves = sorted((r.record_key, r.copy, r.offset, r.length) for r in fixity.offsets(one).collect())
+    at = 0
+    for k, (_, _, offset, length) in enumerate(leaves):
+        assert offset == at
+        at += length
+    assert [copy for key, copy, *_ in leaves if key == 5] == list(range(301))
+
+
+def test_large_keys_and_long_records(spark, same):
+    keys = [2**53 + 1, 2**53, 2**63 - 1, -(2**63), -(2**53) - 1, -1, 0]
+    rows = [(k, "u", "body " * 200_000 if k in (0, 2**53) else str(k)) for k in keys]
+    one = warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    two = warc_records(spark.createDataFrame([(k, u, h[:-1]) for k, u, h in rows[:3]] + rows[3:6], "page_id long, url string, html string"))
+    got = audit(one, two, fanout=4096).collect()
+    same([(r.record_key, r.digest, r.digest_2, r.status) for r in got], plain(one, two))
+    assert {r.record_key for r in got} == {2**53 + 1, 2**53, 2**63 - 1, 0}
+

@@ -303,3 +303,13 @@ def test_empty_tables(no_docs, spark):
         find_pii(no_docs), redact_pii(no_docs), score_quality(no_docs, labels), document_tokens(no_docs),
     ):
         assert result.collect() == []
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """A Thue-Morse word of 1,024 letters and its complement have equal polynomials modulo 2^64."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{word} {shared}"), (2, f"{other} {shared}"), (3, f"{word} {shared}")]
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.session import stored
@@ -13,6 +13,17 @@ from tracemill.session import stored
 FANOUT = 16
 # Records a file holds at most, as long as keys are distinct.
 FILE_RECORDS = 4096
+# Copies of a key that one node covers, and nodes over copies that the next one covers; three levels of them.
+COPY_RANGE = 4096
+COPY_LEVELS = 2
+# Digits of the digest that divide the copies of a key.
+CELL_DIGITS = 3
+
+
+def _quotient(number: Column, by: int) -> Column:
+    """Whole-number division rounding down, exact for all 64-bit numbers."""
+    div = lambda x: F.call_function("div", x, F.lit(by).cast("long"))
+    return F.when(number >= 0, div(number)).otherwise(div(number + 1) - 1)
 
 
 def warc_records(
@@ -39,19 +50,36 @@ def offsets(records: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     """``(file, record_key, copy, offset, length, digest)`` of every record of one replica.
 
     Files hold runs of ``file_records`` keys, in key order; records of one key follow each other by digest,
-    numbered by ``copy``. The bytes themselves are hashed where they lie and do not move.
+    numbered by ``copy``. The bytes themselves are hashed where they lie and do not move. Records are placed inside
+    cells of a key and the first digits of the digest, and cells inside their file, so that the copies of one key
+    are ordered by many tasks.
     """
     hashed = records.select(
-        F.floor(F.col("record_key") / file_records).alias("file"),
+        _quotient(F.col("record_key"), file_records).alias("file"),
         "record_key",
         F.octet_length("record").cast("long").alias("length"),
         F.sha2("record", 256).alias("digest"),
     )
-    order = Window.partitionBy("file").orderBy("record_key", "digest")
-    running = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    copy = F.row_number().over(Window.partitionBy("file", "record_key").orderBy("digest")) - 1
-    return hashed.withColumns({"offset": running, "copy": copy}).select(
-        "file", "record_key", "copy", "offset", "length", "digest"
+    cell = ["file", "record_key", "cell"]
+    spread = hashed.withColumn("cell", F.left("digest", F.lit(CELL_DIGITS)))
+    upto = Window.partitionBy(*cell).orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
+    inside = spread.withColumns(
+        {"inner": F.sum("length").over(upto) - F.col("length"), "place": F.row_number().over(upto) - 1}
+    )
+    sizes = spread.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("record_key", "cell").rowsBetween(Window.unboundedPreceding, 0)
+    shifts = sizes.select(
+        *cell,
+        (F.sum("bytes").over(before("file")) - F.col("bytes")).alias("bytes_before"),
+        (F.sum("n").over(before("file", "record_key")) - F.col("n")).alias("copies_before"),
+    )
+    return inside.join(shifts, cell).select(
+        "file",
+        "record_key",
+        (F.col("copies_before") + F.col("place")).alias("copy"),
+        (F.col("bytes_before") + F.col("inner")).alias("offset"),
+        "length",
+        "digest",
     )
 
 
@@ -66,7 +94,7 @@ class Trees:
 def _joined(nodes: DataFrame, fanout: int) -> DataFrame:
     """Parents of ``nodes``: ordered children, the byte range they cover, and the hash over both."""
     child = F.struct("node", "start", "end", "hash")
-    grouped = nodes.groupBy(F.floor(F.col("node") / fanout).alias("parent")).agg(
+    grouped = nodes.groupBy(_quotient(F.col("node"), fanout).alias("parent")).agg(
         F.sort_array(F.collect_list(child)).alias("children"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
@@ -82,22 +110,34 @@ def _joined(nodes: DataFrame, fanout: int) -> DataFrame:
     return grouped.select(F.col("parent").alias("node"), "start", "end", F.sha2(text, 256).alias("hash"))
 
 
+def _ranged(nodes: DataFrame, parent: Column) -> DataFrame:
+    """Parents of nodes over the copies of a key, as ``_joined`` has them over keys."""
+    children = F.sort_array(F.collect_list(F.struct("at", "start", "end", "hash")))
+    grouped = nodes.groupBy("record_key", parent.alias("parent")).agg(
+        children.alias("children"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    text = F.array_join(
+        F.transform("children", lambda c: F.concat_ws(":", c["start"] - F.col("start"), c["end"] - F.col("start"), c["hash"])), ","
+    )
+    return grouped.select("record_key", F.col("parent").alias("at"), "start", "end", F.sha2(text, 256).alias("hash"))
+
+
 def trees(records: DataFrame, depth: int, fanout: int = FANOUT, file_records: int = FILE_RECORDS) -> Trees:
     """Leaves, nodes over records and ``depth`` levels above, each stored.
 
     The place of a leaf is its key, so a record that is missing changes its own branch only. A leaf covers all
-    copies of a key: it hashes their ranges, counted from its start, and digests in order.
+    copies of a key, by a tree of its own over ranges of copies: a node hashes what it covers in order, with byte
+    ranges counted from its start. No row holds more than a range of them.
     """
     leaves = stored(offsets(records, file_records), "leaves")
-    copies = F.sort_array(F.collect_list(F.struct("copy", "offset", "length", "digest")))
-    keyed = leaves.groupBy("record_key").agg(
-        copies.alias("copies"), F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end")
-    )
-    text = F.array_join(
-        F.transform("copies", lambda c: F.concat_ws(":", c["offset"] - F.col("start"), c["length"], c["digest"])), ","
-    )
-    level = keyed.select(F.col("record_key").alias("node"), "start", "end", F.sha2(text, 256).alias("hash"))
-    levels = [stored(level, "nodes")]
+    level = leaves.select(
+        "record_key", F.col("copy").alias("at"), F.col("offset").alias("start"),
+        (F.col("offset") + F.col("length")).alias("end"), F.col("digest").alias("hash"),
+    )
+    for _ in range(COPY_LEVELS):
+        level = _ranged(level, _quotient(F.col("at"), COPY_RANGE))
+    level = _ranged(level, F.lit(0).cast("long"))
+    levels = [stored(level.select(F.col("record_key").alias("node"), "start", "end", "hash"), "nodes")]
     for _ in range(depth):
         levels.append(stored(_joined(levels[-1], fanout), "nodes"))
     return Trees(leaves, levels)
@@ -106,7 +146,7 @@ def trees(records: DataFrame, depth: int, fanout: int = FANOUT, file_records: in
 def _depth(records: DataFrame, fanout: int) -> int:
     """Levels until all keys are below one node; negative and other keys are below two at most."""
     low, high = records.agg(F.min("record_key"), F.max("record_key")).first()
-    reach = max(abs(low or 0), abs(high or 0)) + 1
+    reach = max(abs(int(low or 0)), abs(int(high or 0))) + 1
     depth = 0
     while fanout**depth < reach:
         depth += 1
@@ -137,7 +177,7 @@ def audit(
     open_ = _differing(one.levels[depth], two.levels[depth])
     for level in reversed(range(depth)):
         below = lambda nodes: nodes.join(
-            open_.select(F.col("node").alias("above")), F.floor(F.col("node") / fanout) == F.col("above"), "left_semi"
+            open_.select(F.col("node").alias("above")), _quotient(F.col("node"), fanout) == F.col("above"), "left_semi"
         )
         open_ = stored(_differing(below(one.levels[level]), below(two.levels[level])), "open")
     mine = one.leaves.join(open_, F.col("record_key") == F.col("node"), "left_semi")

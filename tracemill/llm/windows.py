@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 WORD = np.ones(256, dtype=bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -12,6 +13,8 @@ WORD[[0x20, *range(0x09, 0x0E)]] = False
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 CHUNK = 1 << 18
+# Polynomials modulo 2^64 let some words of a thousand bytes collide whatever the base, so words over this have another hash.
+LONG_WORD = 128
 
 
 def powers(base: int, count: int) -> np.ndarray:
@@ -66,7 +69,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         blob = np.frombuffer(b"\n".join([piece for _, piece in group]) + b"\n", dtype=np.uint8)
         starts, ends = word_spans(blob)
-        hashes.append(span_hashes(blob.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE))
+        found = span_hashes(blob.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE)
+        for k in np.flatnonzero(ends - starts > LONG_WORD):
+            found[k] = xxhash.xxh64_intdigest(blob[starts[k] : ends[k]].tobytes())
+        hashes.append(found)
         borders = np.cumsum([len(piece) + 1 for _, piece in group])
         owner = np.searchsorted(borders, starts, side="right")
         np.add.at(counts, np.array([k for k, _ in group])[owner], 1)
