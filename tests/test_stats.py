@@ -80,12 +80,6 @@ def test_the_largest_keys_are_hot_if_there_are_many(spark, monkeypatch):
     assert got == {"a": (9, pytest.approx(3.5)), "b": (7, pytest.approx(2.5)), None: (8, pytest.approx(3.0)), "c": (1, 0.0)}
 
 
-def exchanges(df):
-    """Exchanges by a hash of columns in the plan before it is run, with their columns."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
-
-
 def test_rows_of_a_key_are_brought_together_once(spark, tmp_path):
     """Without hot keys, all that moves are the rows by key and the counts that find hot keys."""
     rows = spark.range(1000).select((F.col("id") % 9).alias("g"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))

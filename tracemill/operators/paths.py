@@ -91,8 +91,12 @@ def path_efficiency(
 
 
 def _pieces(
-    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
-) -> DataFrame:
+    label_traces: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    placed: bool = False,
+) -> list[DataFrame]:
     """The timeline of each key in pieces: keys, begin and end (ts, trace_id), first and last path, changes inside.
 
     The timeline of a hot key is cut into stretches, contiguous ranges of (key, ts, trace_id) that Spark
@@ -101,10 +105,12 @@ def _pieces(
     rows = label_traces.select(*keys, F.struct("ts", "trace_id").alias("_at"), path_text().alias("_path"))
     cold, hot_part = split_hot(rows, keys, hot_rows, hot)
     ranges = hot_part.repartitionByRange(*keys, "_at.ts", "_at.trace_id")
-    parts = [ranges.withColumn("_stretch", F.spark_partition_id())]
+    parts = [_cut(ranges.withColumn("_stretch", F.spark_partition_id()), keys)]
     if keys:
-        parts.append(cold.repartition(*keys).withColumn("_stretch", F.lit(-1)))
-    return reduce(DataFrame.unionByName, [_cut(part, keys) for part in parts])
+        # Brought together by key once, and in one piece each.
+        together = cold if placed else cold.repartition(*keys)
+        parts.append(_cut(together.withColumn("_stretch", F.lit(-1)), keys))
+    return parts
 
 
 def _cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -141,17 +147,27 @@ def join_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def path_timeline(
-    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+    label_traces: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Per key: begin and end (ts, trace_id), first and last path, and how often the path differs from the one before."""
-    return join_pieces(_pieces(label_traces, keys, hot_rows, hot), keys)
+    stretches, *whole = _pieces(label_traces, keys, hot_rows, hot, placed)
+    # Only hot keys have more than one piece.
+    return reduce(DataFrame.unionByName, [join_pieces(stretches, keys), *whole])
 
 
 def path_changes(
-    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+    label_traces: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Per key: how often the path differs from the one before, in order of (ts, trace_id)."""
-    timeline = path_timeline(label_traces, keys, hot_rows, hot)
+    timeline = path_timeline(label_traces, keys, hot_rows, hot, placed)
     return timeline.select(*keys, F.col("changes").alias("num_changes"))
 
 
@@ -162,14 +178,19 @@ def path_counts(label_traces: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def path_prevalence(
-    label_traces: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
+    label_traces: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Per key: share of the most frequent path, path changes over time, distinct paths, that path.
 
     Among equally frequent paths the lexicographically smallest is the dominant one. The traces are
     read more than once, so pass a stored table.
     """
-    return prevalence_of(path_counts(label_traces, keys), path_changes(label_traces, keys, hot_rows, hot), keys)
+    changes = path_changes(label_traces, keys, hot_rows, hot, placed)
+    return prevalence_of(path_counts(label_traces, keys), changes, keys)
 
 
 def prevalence_of(counts: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

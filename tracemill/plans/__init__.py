@@ -1,5 +1,7 @@
 from tracemill.plans.analyses import ANALYSES, YEARS, label_dataset, reports, run_analysis
+from tracemill.plans.layout import open_by_key, store_by_key
 from tracemill.plans.reports import (
+    YEARS_AND_ALL,
     degree_dist,
     distribution,
     edge_stats,
@@ -15,6 +17,7 @@ from tracemill.plans.reports import (
 __all__ = [
     "ANALYSES",
     "YEARS",
+    "YEARS_AND_ALL",
     "degree_dist",
     "distribution",
     "edge_stats",
@@ -23,9 +26,11 @@ __all__ = [
     "latency_hist",
     "link_stats",
     "multihoming",
+    "open_by_key",
     "overview",
     "pair_stats",
     "reports",
     "run_analysis",
     "slice_years",
+    "store_by_key",
 ]

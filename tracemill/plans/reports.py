@@ -1,6 +1,7 @@
 """Reports over ``label_traces``. Each is one plan for all slices.
 
-``by`` names the slice columns, by default the year; ``by=()`` reports on all years together.
+``by`` names the slice columns, by default the year; ``by=()`` reports on all years together, and ``by=YEARS_AND_ALL`` does
+both at once: the column ``slice`` has each year as text, and ``ALL``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from tracemill.operators.paths import links, path_prevalence
 from tracemill.operators.stats import HOT_ROWS, hot_keys, moments, value_stats, wide_stats
 
 YEAR = ("year",)
+YEARS_AND_ALL = ("slice",)
+ALL = "ALL"
 
 
 def slice_years(label_traces: DataFrame, years: Sequence[int] | None) -> DataFrame:
@@ -22,10 +25,33 @@ def slice_years(label_traces: DataFrame, years: Sequence[int] | None) -> DataFra
     return label_traces if years is None else label_traces.where(F.col("year").isin(list(years)))
 
 
+def _aggregated(df: DataFrame, by: Sequence[str], keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Aggregates by slices and keys. Years and ALL are grouping sets: one scan, and one exchange of partial sums for both.
+
+    Only the year may be NULL for itself; that of ALL is told by the grouping, not by its value.
+    """
+    if tuple(by) != YEARS_AND_ALL:
+        return df.groupBy(*by, *keys).agg(*aggregates)
+    year, rest = F.col("year"), [F.col(key) for key in keys]
+    slice_ = F.when(F.grouping("year") == 1, F.lit(ALL)).otherwise(F.col("year").cast("string"))
+    found = df.groupingSets([[year, *rest], rest], year, *rest).agg(slice_.alias("slice"), *aggregates)
+    return found.select("slice", *[name for name in found.columns if name not in ("year", "slice")])
+
+
+def _in_slices(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row once for its year and once for ALL, where a report needs the rows of a slice and not sums."""
+    if tuple(by) != YEARS_AND_ALL:
+        return df
+    return df.withColumn("slice", F.explode(F.array(F.col("year").cast("string"), F.lit(ALL))))
+
+
 def overview(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
     """Number of traces, mean compressed and raw hops (whole numbers), mean latency."""
     n = F.count(F.lit(1))
-    return label_traces.groupBy(*by).agg(
+    return _aggregated(
+        label_traces,
+        by,
+        (),
         n.alias("n"),
         F.call_function("div", F.sum("num_hops"), n).alias("avg_hops"),
         F.call_function("div", F.sum("raw_hops"), n).alias("avg_raw_hops"),
@@ -35,13 +61,13 @@ def overview(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
 
 def distribution(label_traces: DataFrame, column: str, by: Sequence[str] = YEAR) -> DataFrame:
     """Histogram of ``num_hops`` or ``raw_hops``."""
-    return label_traces.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    return _aggregated(label_traces, by, (column,), F.count(F.lit(1)).alias("n"))
 
 
 def latency_hist(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
     """Histogram of the latency cut to a whole number (toward zero, within the INT range)."""
     whole = F.least(F.greatest("e2e", F.lit(-(2.0**31))), F.lit(2.0**31 - 1)).cast("int")
-    return label_traces.groupBy(*by, whole.alias("latency")).agg(F.count(F.lit(1)).alias("n"))
+    return _aggregated(label_traces.withColumn("latency", whole), by, ("latency",), F.count(F.lit(1)).alias("n"))
 
 
 def pair_stats(
@@ -58,13 +84,14 @@ def pair_stats(
     Each part reads its own columns of the traces, so pass a stored table; hot pairs are found once for all parts.
     ``placed``: rows of a pair are together already, as in a table bucketed by ``keys``.
     """
+    label_traces = _in_slices(label_traces, by)
     groups = [*by, *keys]
     metrics = {"latency": F.col("e2e"), "hops": F.col("num_hops"), "raw_hops": F.col("raw_hops")}
     hot = hot_keys(label_traces, groups, hot_rows)
     wide = wide_stats(label_traces, groups, metrics, min_count, hot=hot, placed=placed)
     if not prevalence:
         return wide
-    paths = path_prevalence(label_traces, groups, hot_rows, hot)
+    paths = path_prevalence(label_traces, groups, hot_rows, hot, placed)
     paths = paths.toDF(*[f"_{name}" if name in groups else name for name in paths.columns])
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in groups]
     return wide.join(paths, same).drop(*[f"_{name}" for name in groups])
@@ -72,7 +99,10 @@ def pair_stats(
 
 def endpoint_stats(label_traces: DataFrame, side: str, by: Sequence[str] = YEAR) -> DataFrame:
     """Per ``src`` or ``dst``: n, and avg, stdev, cv of latency and hops."""
-    return label_traces.groupBy(*by, side).agg(
+    return _aggregated(
+        label_traces,
+        by,
+        (side,),
         F.count(F.lit(1)).alias("n"),
         *moments(F.col("e2e"), "latency_"),
         *moments(F.col("num_hops"), "hops_"),
@@ -86,7 +116,8 @@ def multihoming(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
     before they meet, so a set is only as large as the number of labels next to the destination.
     """
     upstream = F.when(F.col("num_hops") >= 2, F.get("hops", F.col("num_hops") - 2))
-    seen = label_traces.select(*by, "dst", upstream.alias("upstream")).distinct()
+    named = label_traces.withColumn("upstream", upstream)
+    seen = _aggregated(named, by, ("dst", "upstream"), F.count(F.lit(1)).alias("n"))
     return seen.groupBy(*by, "dst").agg(
         F.count("upstream").alias("n_upstream"),
         F.sort_array(F.collect_set("upstream")).alias("upstream"),
@@ -98,14 +129,14 @@ def link_stats(
 ) -> DataFrame:
     """Per directed link: n and statistics of the latency on it."""
     groups = [*by, "link_src", "link_dst"]
-    stats = value_stats(links(_with_year(label_traces)), groups, "lat", hot_rows)
+    stats = value_stats(_in_slices(links(_with_year(label_traces)), by), groups, "lat", hot_rows)
     return stats.withColumn("link", F.concat_ws(" ", "link_src", "link_dst"))
 
 
 def degree_dist(label_traces: DataFrame, by: Sequence[str] = YEAR) -> DataFrame:
     """Per label: number of distinct links that leave it, largest first."""
     return (
-        links(_with_year(label_traces))
+        _in_slices(links(_with_year(label_traces)), by)
         .groupBy(*by, "link_src")
         .agg(F.count_distinct("link_dst").cast("double").alias("degree"))
         .orderBy(*by, F.desc("degree"), "link_src")
@@ -124,6 +155,7 @@ def edge_stats(
     Shares are in percent, NULL (and not counted) for a latency of zero. The least hop count travels
     along with the latencies, so the condition on it needs neither a join nor a window.
     """
+    label_traces = _in_slices(label_traces, by)
     groups = [*by, *keys]
     metrics = {
         "latency": F.col("e2e"),

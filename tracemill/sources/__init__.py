@@ -4,8 +4,10 @@ from tracemill.sources.prefixes import flatten_prefixes, parse_prefix_map, read_
 from tracemill.sources.sinks import write_report
 from tracemill.sources.traces import (
     DATASETS,
+    account_lines,
     check_lines,
     clean_lines,
+    line_counts,
     parse_lines,
     read_lines,
     read_traces,
@@ -15,9 +17,11 @@ from tracemill.sources.traces import (
 
 __all__ = [
     "DATASETS",
+    "account_lines",
     "check_lines",
     "clean_lines",
     "flatten_prefixes",
+    "line_counts",
     "normalise_cidr",
     "parse_ip_map",
     "parse_lines",

@@ -9,13 +9,16 @@ Lines that do not parse go to ``bad_lines`` (value, dataset, path, reason) inste
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import ip_to_number, month_start, utc_year
 
 
+# Why a line does not parse.
+REASONS = ("date", "hops", "address", "latency", "endpoint")
 FIELDS = ("ts", "region", "target", "hops", "lats", "num_hops")
 # Up to the year 9999.
 MAX_SECONDS = 253_402_300_799
@@ -30,16 +33,46 @@ def read_lines(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     )
 
 
+def _filters(dataset: str) -> dict[str, Column]:
+    """Why a line is dropped before it is parsed, by name. All are substring tests."""
+    value = F.col("value")
+    tests = {"sentinel": F.contains(value, F.lit("0.0.0.0")), "hyphen": F.contains(value, F.lit("-"))}
+    incomplete = {"incomplete": ~F.contains(value, F.lit("MOS"))} if _known(dataset) == "ARK" else {}
+    return {**incomplete, **tests}
+
+
 def clean_lines(lines: DataFrame, dataset: str) -> DataFrame:
     """Drop incomplete ARK traces and any line with the sentinel address or a hyphen.
 
     All three tests are substring tests, so ``10.0.0.0`` and hyphenated tokens go too.
     """
-    value = F.col("value")
-    kept = lines.where(~F.contains(value, F.lit("0.0.0.0")) & ~F.contains(value, F.lit("-")))
-    if _known(dataset) == "ARK":
-        kept = kept.where(F.contains(value, F.lit("MOS")))
-    return kept
+    return lines.where(~reduce(Column.__or__, _filters(dataset).values()))
+
+
+def account_lines(lines: DataFrame, dataset: str) -> tuple[DataFrame, dict[str, Observation]]:
+    """``check_lines(clean_lines(...))``, and observations of what became of the lines, for ``line_counts``.
+
+    The counts come about while the checked lines are written, in the same pass, and can be read after that.
+    """
+    account = {"read": Observation(), "checked": Observation()}
+    dropped = F.coalesce(*[F.when(test, name) for name, test in _filters(dataset).items()])
+    marked = lines.withColumn("dropped", dropped)
+    counted = [F.count_if(F.col("dropped") == name).alias(name) for name in _filters(dataset)]
+    kept = marked.observe(account["read"], F.count(F.lit(1)).alias("lines"), *counted).where("dropped IS NULL").drop("dropped")
+    reasons = [F.count_if(F.col("reason") == name).alias(name) for name in REASONS]
+    good = F.count_if(F.col("reason").isNull()).alias("traces")
+    return check_lines(kept, dataset).observe(account["checked"], good, *reasons), account
+
+
+def line_counts(spark: SparkSession, account: dict[str, Observation]) -> DataFrame:
+    """``(step, name, n)``: all lines ``read``, those ``dropped`` by each filter, ``bad`` for each reason, and traces ``kept``.
+
+    A line that several filters drop counts for the first one. The lines read are the sum of all others.
+    """
+    read, checked = dict(account["read"].get), dict(account["checked"].get)
+    rows = [("read", "lines", read.pop("lines")), ("kept", "traces", checked.pop("traces"))]
+    rows += [("dropped", *item) for item in read.items()] + [("bad", *item) for item in checked.items()]
+    return spark.createDataFrame(rows, "step string, name string, n long")
 
 
 def read_traces(

@@ -480,3 +480,48 @@ ORACLE["counts_cdf"] = ORACLE["agg_cdf"]
 ORACLE["counts_latency_hist"] = ORACLE["latency_hist_city"]
 ORACLE["counts_moments"] = ORACLE["agg_moments"]
 ORACLE["path_prevalence_appended"] = ORACLE["path_prevalence"]
+
+SLICED = "sliced AS (SELECT *, unnest([CAST(year AS VARCHAR), 'ALL']) AS slice FROM lt)"
+ORACLE["overview_years_all"] = f"""WITH {_lt('as')}, {SLICED}
+SELECT slice, count(*) AS n, CAST(sum(num_hops) // count(*) AS BIGINT) AS avg_hops,
+  CAST(sum(raw_hops) // count(*) AS BIGINT) AS avg_raw_hops, {_r('avg(e2e)', 'avg_latency')}
+FROM sliced GROUP BY slice"""
+ORACLE["hop_dist_years_all"] = f"""WITH {_lt('as')}, {SLICED}
+SELECT slice, num_hops, count(*) AS n FROM sliced GROUP BY ALL"""
+ORACLE["latency_hist_years_all"] = f"""WITH {_lt('as')}, {SLICED}
+SELECT slice, CAST(trunc(e2e) AS INTEGER) AS latency, count(*) AS n FROM sliced GROUP BY ALL"""
+ORACLE["src_stats_years_all"] = f"""WITH {_lt('as')}, {SLICED}
+SELECT slice, src, count(*) AS n, {_moments('e2e', 'latency_')}, {_moments('num_hops', 'hops_')}
+FROM sliced GROUP BY slice, src"""
+ORACLE["multihoming_years_all"] = f"""WITH {_lt('as')}, {SLICED},
+up AS (SELECT slice, dst, CASE WHEN num_hops >= 2 THEN labels[-2] END AS label FROM sliced)
+SELECT slice, dst, count(DISTINCT label) AS n_upstream,
+  coalesce(string_agg(DISTINCT label, ' ' ORDER BY label), '') AS upstream FROM up GROUP BY slice, dst"""
+ORACLE["link_stats_years_all"] = f"""WITH RECURSIVE {POINTS}, {_lt('geo')},
+slink AS (SELECT *, unnest([CAST(year AS VARCHAR), 'ALL']) AS slice FROM link),
+{_stats('slink', ['slice', 'link_src', 'link_dst'], 'lat', 's')}
+SELECT slice, link_src, link_dst, link_src || ' ' || link_dst AS link, n, {_stat_columns('s')} FROM s"""
+ORACLE["sink_rerun"] = f"""SELECT *, 'ARK' AS dataset FROM ({_endpoint_stats('as', None, 'src')}) WHERE year <> 1996
+UNION ALL BY NAME
+SELECT *, 'ARK' AS dataset FROM ({_endpoint_stats('as', None, 'src').replace('FROM lt GROUP', 'FROM lt WHERE num_hops > 1 GROUP')})
+WHERE year = 1996"""
+ORACLE["line_accounting"] = f"""WITH {_lines(SHIFT)}, broken AS (
+  SELECT CASE left(priority, 1)
+    WHEN '1' THEN '200813 ' || words
+    WHEN '2' THEN strftime(day, '%Y%m')
+    WHEN '3' THEN strftime(day, '%Y%m') || ' 10.0.1 3.5 ' || words
+    WHEN '4' THEN {IPLANE} || ' 10.0.0.1 fast'
+    ELSE CASE WHEN status = 'P' THEN {IPLANE} || ' 10.0.0.1' ELSE {IPLANE} || '  ' END END AS value,
+    CASE left(priority, 1) WHEN '1' THEN 'date' WHEN '2' THEN 'hops' WHEN '3' THEN 'address'
+      WHEN '4' THEN 'latency' ELSE CASE WHEN status = 'P' THEN 'hops' END END AS reason FROM texts),
+marked AS (
+  SELECT reason, CASE WHEN contains(value, '0.0.0.0') THEN 'sentinel' WHEN contains(value, '-') THEN 'hyphen' END AS dropped
+  FROM broken)
+SELECT step, name, n FROM (
+  SELECT 'read' AS step, 'lines' AS name, count(*) AS n FROM marked
+  UNION ALL SELECT 'kept', 'traces', count(*) FILTER (dropped IS NULL AND reason IS NULL) FROM marked
+  UNION ALL SELECT 'dropped', f, (SELECT count(*) FROM marked WHERE dropped = f) FROM (VALUES ('sentinel'), ('hyphen')) t(f)
+  UNION ALL SELECT 'bad', f, (SELECT count(*) FROM marked WHERE dropped IS NULL AND reason = f)
+  FROM (VALUES ('date'), ('hops'), ('address'), ('latency'), ('endpoint')) t(f))"""
+ORACLE["sql_slash24"] = ORACLE["rollup_slash24"]
+ORACLE["sql_reports"] = ORACLE["flt_year"]

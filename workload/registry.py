@@ -11,6 +11,7 @@ import tracemill as tm
 from tracemill.functions import day_start, day_text, month_text
 from tracemill.operators.stats import PERCENTILES
 from tracemill.session import scratch_path, stored
+from tracemill.sql import register_functions, register_reports
 from workload import fixture as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,6 +325,42 @@ def path_prevalence_appended(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tm.read_prevalence(spark, path, keys, label_traces, hot_rows=HOT_ROWS))
 
 
+def line_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each line of a text dataset; every second line or so is malformed or dropped."""
+    path = _files(spark, fx.broken_lines(fx.traces(spark, sf, SHIFT)), "broken")
+    checked, account = tm.account_lines(tm.read_lines(spark, path, "IPLANE"), "IPLANE")
+    checked.write.parquet(scratch_path(spark, "checked"))
+    return tm.line_counts(spark, account)
+
+
+def sink_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of all years, one year of which is then written again from other traces."""
+    label_traces = stored(_as(spark, sf), "label-traces")
+    path = scratch_path(spark, "rerun")
+    tm.write_report(tm.endpoint_stats(label_traces, "src"), path, dataset="ARK")
+    again = tm.slice_years(label_traces, [1996]).where("num_hops > 1")
+    tm.write_report(tm.endpoint_stats(again, "src"), path, dataset="ARK", replace=True)
+    return _rounded(spark.read.parquet(path))
+
+
+def sql_slash24(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up by /24, from SQL alone."""
+    register_functions(spark)
+    tm.explode_hops(fx.traces(spark, sf)).createOrReplaceTempView("hops")
+    return _rounded(
+        spark.sql(
+            "SELECT prefix, n, avg, stdev, coefficient_of_variation(avg, stdev) AS cv FROM ("
+            "SELECT slash24(ip) AS prefix, count(*) AS n, avg(lat) AS avg, stddev_pop(lat) AS stdev FROM hops GROUP BY slash24(ip))"
+        )
+    )
+
+
+def sql_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Two years of a report, from SQL alone."""
+    register_reports(spark, stored(_as(spark, sf), "label-traces"), "as")
+    return _rounded(spark.sql("SELECT * FROM overview_of(1996, 1997)"))
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tm.links(_as(spark, sf)))
 
@@ -442,6 +479,18 @@ QUERIES: dict[str, Query] = {
     "path_prevalence_hot": _on(
         _geo_stored, lambda lt: tm.path_prevalence(lt, ["src", "dst"], hot_rows=HOT_ROWS)
     ),
+    "line_accounting": line_accounting,
+    "sink_rerun": sink_rerun,
+    "overview_years_all": _on(_as, lambda lt: tm.overview(lt, tm.YEARS_AND_ALL)),
+    "hop_dist_years_all": _on(_as, lambda lt: tm.distribution(lt, "num_hops", tm.YEARS_AND_ALL)),
+    "latency_hist_years_all": _on(_as, lambda lt: tm.latency_hist(lt, tm.YEARS_AND_ALL)),
+    "src_stats_years_all": _on(_as, lambda lt: tm.endpoint_stats(lt, "src", tm.YEARS_AND_ALL)),
+    "multihoming_years_all": _on(_as, 
+        lambda lt: tm.multihoming(lt, tm.YEARS_AND_ALL).withColumn("upstream", F.array_join("upstream", " "))
+    ),
+    "link_stats_years_all": _on(_geo_stored, lambda lt: tm.link_stats(lt, tm.YEARS_AND_ALL)),
+    "sql_slash24": sql_slash24,
+    "sql_reports": sql_reports,
     "counts_percentiles": counts_percentiles,
     "counts_cdf": counts_cdf,
     "counts_latency_hist": counts_latency_hist,
