@@ -196,3 +196,18 @@ def test_starts_outside_the_address_space(spark):
     ip_map, bad = tm.sources.ipmap.parse_ip_map(rows)
     assert [r.range_start for r in ip_map.collect()] == [7]
     assert bad.count() == 2
+
+
+def test_traces_move_once_from_text_to_labels(spark, tmp_path):
+    """One exchange by the digest of the line; headers do not carry the hops through it."""
+    (tmp_path / "t.txt").write_text("200901 10.0.0.1 0.5 10.0.1.1 2.5\n" * 3 + "200902 10.0.0.1 0.5\n")
+    ip_map = spark.createDataFrame([(1, "AS1", "US")], "range_start long, as_no string, geo string")
+    traces, _ = tm.parse_lines(tm.read_lines(spark, str(tmp_path), "IPLANE"), "IPLANE")
+    labelled = tm.label_hops(traces, ip_map)
+    plan = labelled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(digest" in plan
+    assert sorted(len(r.hops) for r in labelled.collect()) == [1, 2, 2, 2]
+    assert labelled.select("trace_id").distinct().count() == 4
+    headers = tm.trace_headers(traces).select("region", "num_hops")._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(lats" not in headers and "first(num_hops" in headers
+

@@ -16,34 +16,41 @@ LABELS = {"as": "as_no", "geo": "geo"}
 
 
 def explode_hops(traces: DataFrame) -> DataFrame:
-    """One row per hop: trace_id, ts, year, region, pos, ip, lat."""
+    """One row per hop: trace_id, ts, year, region, pos, ip, lat; and the digest of the trace's line, if there is one."""
+    keys = _trace_keys(traces)
     return traces.select(
-        "trace_id",
+        *keys,
         "ts",
         "year",
         "region",
         F.posexplode(F.arrays_zip("hops", "lats")).alias("pos", "hop"),
     ).select(
-        "trace_id", "ts", "year", "region", "pos", F.col("hop.hops").alias("ip"), F.col("hop.lats").alias("lat")
+        *keys, "ts", "year", "region", "pos", F.col("hop.hops").alias("ip"), F.col("hop.lats").alias("lat")
     )
 
 
+def _trace_keys(traces: DataFrame) -> list[str]:
+    """What tells traces apart. Traces read from text are partitioned by the digest of their line."""
+    return [name for name in ("digest", "trace_id") if name in traces.columns]
+
+
 def label_hops(
     traces: DataFrame, ip_map: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Both labels of every hop: trace_id, ts, year, from_ip, hops ARRAY<STRUCT<pos, lat, as_no, geo>>.
 
     One lookup serves every combination of hop and endpoint level. The array of a trace is no longer
-    than the input row it came from. Traces already partitioned by trace_id are not shuffled again
-    when the map is broadcast.
+    than the input row it came from. Traces already partitioned by trace_id, or by digest as they are read, are not
+    shuffled again when the map is broadcast.
     """
     found = floor_lookup(explode_hops(traces), ip_map, broadcast_rows)
-    return found.groupBy("trace_id").agg(
+    grouped = found.groupBy(*_trace_keys(traces)).agg(
         F.any_value("ts").alias("ts"),
         F.any_value("year").alias("year"),
         F.any_value("region").alias("from_ip"),
         F.sort_array(F.collect_list(F.struct("pos", "lat", "as_no", "geo"))).alias("hops"),
     )
+    return grouped.select("trace_id", "ts", "year", "from_ip", "hops")
 
 
 def _year(labelled: DataFrame) -> Column:

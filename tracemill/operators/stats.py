@@ -78,11 +78,6 @@ def correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     )
 
 
-def _summed(step: Column, times: Column) -> Column:
-    """``step`` added up ``times`` times."""
-    return F.aggregate(F.sequence(F.lit(1), times), F.lit(0.0), lambda acc, _: acc + step)
-
-
 def _two_decimals(probability: Column) -> Column:
     return F.floor(probability * 100 + 0.5) / 100
 
@@ -93,32 +88,19 @@ def small_group_points(spark: SparkSession) -> DataFrame:
     ``probs[k-1]`` is the probability of the k-th point. A percentile lies between the points hi - 1
     and hi, ``gap`` apart, ``over`` above the lower one.
     """
-    size = F.col("size")
-    sizes = spark.range(1, FULL).select(F.col("id").cast("int").alias("size"))
-    probs = sizes.withColumn(
-        "probs",
-        F.transform(
-            F.sequence(F.lit(1), size), lambda k: _two_decimals(_summed(F.lit(1.0) / size, k))
-        ),
-    )
-    anchored = F.concat(F.array(F.lit(0.0)), F.col("probs"))
-    wanted = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    bracketed = probs.withColumn("anchored", anchored).withColumn(
-        "hi",
-        F.transform(
-            wanted,
-            lambda p: F.array_position(
-                F.transform("probs", lambda prob: prob >= p), F.lit(True)
-            ).cast("bigint"),
-        ),
-    )
-    at = lambda k: F.get("anchored", k.cast("int"))
-    return bracketed.select(
-        "size",
-        "probs",
-        "hi",
-        F.transform("hi", lambda k: at(k) - at(k - 1)).alias("gap"),
-        F.zip_with("hi", wanted, lambda k, p: p - at(k - 1)).alias("over"),
+    added = "aggregate(sequence(1, k), 0D, (acc, x) -> acc + 1D / size)"
+    wanted = f"array({', '.join(f'{p / 100!r}D' for p in PERCENTILES)})"
+    at = lambda k: f"get(concat(array(0D), probs), CAST({k} AS INT))"
+    return (
+        spark.range(1, FULL)
+        .selectExpr("CAST(id AS INT) AS size")
+        .selectExpr("size", f"transform(sequence(1, size), k -> floor({added} * 100 + 0.5D) / 100) AS probs")
+        .selectExpr("*", f"transform({wanted}, p -> array_position(transform(probs, prob -> prob >= p), true)) AS hi")
+        .selectExpr(
+            "*",
+            f"transform(hi, k -> {at('k')} - {at('k - 1')}) AS gap",
+            f"zip_with(hi, {wanted}, (k, p) -> p - {at('k - 1')}) AS over",
+        )
     )
 
 
@@ -238,33 +220,44 @@ def _with_points(df: DataFrame, points: DataFrame, *columns: str) -> DataFrame:
     return df.join(small, F.col("n") == F.col("size"), "left").drop("size")
 
 
-def _summary(ranked: DataFrame, groups: Sequence[str], min_count: int | None, least: str | None) -> DataFrame:
-    """n, min, max, avg, stdev, cv, p25 ... p99 per group of ranked values."""
-    points = small_group_points(ranked.sparkSession)
+def _high(i: int, p: int) -> str:
+    """SQL of the value at the percentile, or, in a small group, at the point above it."""
+    step = f"{_full_probabilities()[p - 1]!r}D"
+    full = f"upto / n >= {step} OR abs(upto / n - {step}) < {TOLERANCE!r}D"
+    return f"min(CASE WHEN CASE WHEN n >= {FULL} THEN {full} ELSE upto >= get(hi, {i}) END THEN value END) AS high{p}"
+
+
+def _low(i: int, p: int) -> str:
+    """SQL of the value at the point below the percentile of a small group."""
+    return f"min(CASE WHEN get(hi, {i}) > 1 AND upto >= get(hi, {i}) - 1 THEN value END) AS low{p}"
+
+
+def _between(i: int, p: int) -> str:
+    """SQL of a percentile. Nothing has rank 0, which is the anchor."""
+    low = f"coalesce(low{p}, 0D)"
+    return f"CASE WHEN n >= {FULL} THEN high{p} ELSE {low} + (high{p} - {low}) / get(gap, {i}) * get(over, {i}) END AS p{p}"
+
+
+def _summary(
+    ranked: DataFrame, points: DataFrame, groups: Sequence[str], min_count: int | None = None, least: str | None = None
+) -> DataFrame:
+    """n, min, max, avg, stdev, cv, p25 ... p99 per group of ranked values. ``points``: of ``small_group_points``."""
     enough = ranked if min_count is None else ranked.where(F.col("n") >= min_count)
     known = _with_points(enough, points, "hi")
-    n, upto, value = F.col("n"), F.col("upto"), F.col("value")
-    full = _full_probabilities()
-    highs, lows = [], []
-    for i, p in enumerate(PERCENTILES):
-        rank = F.get("hi", F.lit(i))
-        high = F.when(n >= FULL, _reached(upto, n, F.lit(full[p - 1]))).otherwise(upto >= rank)
-        highs.append(F.min(F.when(high, value)).alias(f"high{p}"))
-        lows.append(F.min(F.when((rank > 1) & (upto >= rank - 1), value)).alias(f"low{p}"))
-    distance = value - F.col("avg")
-    summary = known.groupBy(*groups).agg(
-        F.any_value("n").alias("n"),
-        F.any_value("avg").alias("avg"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.sum(F.col("c") * distance * distance).alias("squares"),
-        *([F.min(least).alias(least)] if least else []),
-        *highs,
-        *lows,
-    )
+    aggregates = [
+        "any_value(n) AS n",
+        "any_value(avg) AS avg",
+        "min(value) AS min",
+        "max(value) AS max",
+        "sum(c * (value - avg) * (value - avg)) AS squares",
+        *([f"min(`{least}`) AS `{least}`"] if least else []),
+        *[_high(i, p) for i, p in enumerate(PERCENTILES)],
+        *[_low(i, p) for i, p in enumerate(PERCENTILES)],
+    ]
+    summary = known.groupBy(*groups).agg(*map(F.expr, aggregates))
     # Without groups an empty table has one row of NULLs.
-    weighted = _with_points(summary.where(n.isNotNull()), points, "gap", "over")
-    stdev = F.sqrt(F.col("squares") / n)
+    weighted = _with_points(summary.where("n IS NOT NULL"), points, "gap", "over")
+    stdev = F.sqrt(F.col("squares") / F.col("n"))
     return weighted.select(
         *groups,
         *([least] if least else []),
@@ -274,7 +267,7 @@ def _summary(ranked: DataFrame, groups: Sequence[str], min_count: int | None, le
         "avg",
         stdev.alias("stdev"),
         coefficient_of_variation(F.col("avg"), stdev).alias("cv"),
-        *[_interpolated(i, p).alias(f"p{p}") for i, p in enumerate(PERCENTILES)],
+        *[F.expr(_between(i, p)) for i, p in enumerate(PERCENTILES)],
     )
 
 
@@ -292,8 +285,9 @@ def stat6(
     """
     groups = [*keys, "metric"]
     cold, hot = split_hot(long, groups, hot_rows)
+    points = small_group_points(long.sparkSession)
     ranks = [_cold_ranks(_together(cold, groups), groups, weight), _hot_ranks(hot, groups, weight)]
-    return _summary(ranks[0], groups, min_count, None).unionByName(_summary(ranks[1], groups, min_count, None))
+    return reduce(DataFrame.unionByName, [_summary(ranked, points, groups, min_count) for ranked in ranks])
 
 
 def wide_stats(
@@ -322,16 +316,9 @@ def wide_stats(
     cold = _together(parts[0], keys, placed).select(*carried, stack)
     groups = [*keys, "metric"]
     ranks = [_cold_ranks(cold, groups, None, least), _hot_ranks(parts[1].select(*carried, stack), groups, None, least)]
-    wide = [_as_wide(_summary(ranked, groups, min_count, least), keys, list(metrics), least) for ranked in ranks]
-    return wide[0].unionByName(wide[1])
-
-
-def _interpolated(i: int, p: int) -> Column:
-    high = F.col(f"high{p}")
-    # Nothing has rank 0: the anchor.
-    low = F.coalesce(F.col(f"low{p}"), F.lit(0.0))
-    between = low + (high - low) / F.get("gap", F.lit(i)) * F.get("over", F.lit(i))
-    return F.when(F.col("n") >= FULL, high).otherwise(between)
+    points = small_group_points(df.sparkSession)
+    stats = [_summary(ranked, points, groups, min_count, least) for ranked in ranks]
+    return reduce(DataFrame.unionByName, [_as_wide(part, keys, list(metrics), least) for part in stats])
 
 
 def _as_wide(
@@ -340,13 +327,9 @@ def _as_wide(
     """One row per key with columns ``<metric>_<stat>``; ``n`` and ``least`` are those of the first metric."""
     fields = ["n", *STAT6, *([least] if least else [])]
     pivoted = stats.groupBy(*keys).pivot("metric", list(metrics)).agg(F.first(F.struct(*fields)))
-    first = F.col(metrics[0])
-    return pivoted.select(
-        *keys,
-        first["n"].alias("n"),
-        *([first[least].alias(least)] if least else []),
-        *[F.col(m)[s].alias(f"{m}_{s}") for m in metrics for s in STAT6],
-    )
+    first = [f"`{metrics[0]}`.`{name}` AS `{name}`" for name in ("n", *([least] if least else []))]
+    each = [f"`{m}`.`{name}` AS `{m}_{name}`" for m in metrics for name in STAT6]
+    return pivoted.selectExpr(*[f"`{key}`" for key in keys], *first, *each)
 
 
 def _ranked(
@@ -363,7 +346,8 @@ def value_stats(
     df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
 ) -> DataFrame:
     """Per key: n, min, max, avg, stdev, cv and the six percentiles. ``weight``: a column that says how often a row counts."""
-    parts = [_summary(ranked, keys, None, None) for ranked in _ranked(df, keys, value, hot_rows, weight)]
+    points = small_group_points(df.sparkSession)
+    parts = [_summary(ranked, points, keys) for ranked in _ranked(df, keys, value, hot_rows, weight)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -378,11 +362,9 @@ def cdf(
     df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
 ) -> DataFrame:
     """Per key: the points (prob, value) of the empirical distribution, with the anchor (0, 0)."""
-    return reduce(DataFrame.unionByName, [_points(ranked, keys) for ranked in _ranked(df, keys, value, hot_rows, weight)])
-
-
-def _points(ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ranked = _with_points(ranks, small_group_points(ranks.sparkSession), "probs")
+    # No exchange follows the ranks, so both kinds of keys share the rest.
+    ranks = reduce(DataFrame.unionByName, _ranked(df, keys, value, hot_rows, weight))
+    ranked = _with_points(ranks, small_group_points(df.sparkSession), "probs")
     n, after, upto = F.col("n"), F.col("after"), F.col("upto")
     # Points first reached by this value: those near its share of ranks, then exactly.
     lowest = F.greatest(F.lit(1), F.floor(after * FULL / n) - 1)

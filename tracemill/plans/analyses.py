@@ -95,7 +95,7 @@ def label_dataset(
     checked.write.parquet(checked_path)
     traces, bad_lines = split_checked(spark.read.parquet(checked_path))
     if partitions is not None:
-        traces = traces.repartition(partitions, "trace_id")
+        traces = traces.repartition(partitions, "digest")
     read_map = read_prefix_map if prefixes else read_ip_map
     ip_map, bad_map_lines = read_map(spark, map_path)
     labelled_path = f"{out_path}/labelled_hops"
