@@ -39,9 +39,12 @@ def ranked(good, k, asked):
     return want
 
 
-def test_exact_search(frame, rows, monkeypatch):
+@pytest.mark.parametrize("pairs", [1024, 1])
+def test_exact_search(frame, rows, monkeypatch, pairs):
     from tracemill.llm import vptree
 
+    monkeypatch.setattr(vptree, "PAIRS", pairs)
+    monkeypatch.setattr(vptree, "LONGEST_SIDE", 3)
     monkeypatch.setattr(vptree, "SHARD_ROWS", 120)
     monkeypatch.setattr(vptree, "BLOCK_ROWS", 10)
     got = nearest(frame, F.col("vec_id") % 20 == 0, factor=1.0).collect()
@@ -62,15 +65,26 @@ def test_recall_of_the_relaxed_search(spark, sf):
     assert len(got) == len(exact) and len(got & exact) >= 0.95 * len(exact)
 
 
+def test_repeated_ids(spark):
+    """A query id asks once, with the smallest of its vectors; repeated candidates have ranks each."""
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [3.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = nearest(table, F.col("vec_id") % 20 == 0).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got)] == [(0, 1, 1, 3.0), (0, 2, 1, 1.0), (0, 3, 1, 1.0)]
+
+
 def test_few_candidates(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, -1.0])], "vec_id long, embedding array<float>")
     got = nearest(few, F.col("vec_id") % 20 == 0).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 1.0), (2, 2, 1.0)]
 
 
-def test_groups(frame, rows, same, monkeypatch):
+@pytest.mark.parametrize("pairs", [1024, 1])
+def test_groups(frame, rows, same, monkeypatch, pairs):
     from tracemill.llm import tiles
 
+    monkeypatch.setattr(tiles, "PAIRS", pairs)
+    monkeypatch.setattr(tiles, "LONGEST_SIDE", 3)
     monkeypatch.setattr(tiles, "TILE_ROWS", 64)
     monkeypatch.setattr(tiles, "STRIP_ROWS", 16)
     good, odd = rows

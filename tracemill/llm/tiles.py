@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,9 @@ from tracemill.session import stored
 THRESHOLD = 0.9
 TILE_ROWS = 8192
 STRIP_ROWS = 256
+# From so many pairs of tiles on, a task takes squares of them, of this side at most.
+PAIRS = 1024
+LONGEST_SIDE = 8
 # Shares of the dimensions after which pairs that cannot reach the threshold are given up.
 STAGES = (0.25, 0.5)
 # Beyond this share of a strip, a full product is cheaper than picked pairs.
@@ -125,15 +129,16 @@ def _compare(axes: np.ndarray, threshold: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, one in left.iterrows():
+            a = Side(one, axes, cuts)
             for _, two in right.iterrows():
-                out += compare(one, two)
+                if one["place"] <= two["place"] <= one["last"]:
+                    out += compare(one, two, a)
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
         frame = pd.DataFrame(dict(zip(("u", "v", "n"), columns)))
         return frame.astype({"u": "int64", "v": "Int64", "n": "int64"})
 
-    def compare(one: pd.Series, two: pd.Series) -> list:
+    def compare(one: pd.Series, two: pd.Series, a: Side) -> list:
         same = one["tile"] == two["tile"]
-        a = Side(one, axes, cuts)
         b = a if same else Side(two, axes, cuts)
         counts_a, counts_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
         node = root = np.empty(0, np.int64)
@@ -188,11 +193,15 @@ def _named(given: DataFrame, threshold: float) -> DataFrame:
     ) / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
     ordered = classes.withColumn("lead", lead).repartitionByRange(-(-total // TILE_ROWS), "lead", "rep")
     tiles = stored(ordered.sortWithinPartitions("lead", "rep").mapInPandas(_tiled, TILE), "tiles")
-    reach = spark.createDataFrame(tile_reach(tiles, threshold), "at long, place long, first long, last long")
+    reached = tile_reach(tiles, threshold)
+    reach = spark.createDataFrame(reached, "at long, place long, first long, last long")
     placed = tiles.join(reach, F.col("tile") == F.col("at")).drop("at")
-    # Each pair of tiles in reach once, the lower place on the left.
-    left = placed.withColumns({"one": F.col("place"), "two": F.explode(F.sequence("place", "last"))})
-    right = placed.withColumns({"one": F.explode(F.sequence("first", "place")), "two": F.col("place")})
+    # Each pair of tiles in reach once, the lower place on the left. A tile travels once for each square it is in.
+    pairs = sum(last - place + 1 for _, place, _, last in reached)
+    side = max(1, min(LONGEST_SIDE, isqrt(pairs // PAIRS)))
+    at = lambda name: F.floor(F.col(name) / side)
+    left = placed.withColumns({"one": at("place"), "two": F.explode(F.sequence(at("place"), at("last")))})
+    right = placed.withColumns({"one": F.explode(F.sequence(at("first"), at("place"))), "two": at("place")})
     right = right.toDF(*right.columns)  # columns of its own, to stand beside the left
     met = left.groupBy("one", "two").cogroup(right.groupBy("one", "two"))
     links = stored(met.applyInPandas(_compare(axes, threshold), LINKS), "links")
@@ -218,7 +227,8 @@ def embedding_groups(
     """``(vec_id, n_links, component_id, kept)`` of every row.
 
     Equal vectors are one class from the start, in which all are linked. Classes are turned into their principal
-    axes, sorted by the first and cut into tiles; a pair of tiles is one task. Each task counts the links of
+    axes, sorted by the first and cut into tiles; a pair of tiles is one task, or a square of up to 8 x 8 pairs where there
+    are very many. Each task counts the links of
     its rows and passes on a spanning forest, so a cluster of any density costs no more than its rows.
     Rows that ``usable`` leaves out have no links and stand alone. Repeated rows of one id are rows
     like any other. Vectors of different lengths are never linked; each length has tiles of its own. An empty table

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,9 @@ FACTOR = 5.0
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
 LEAF = 64
+# From so many pairs of a shard and a block on, a task takes squares of them, of this side at most.
+PAIRS = 1024
+LONGEST_SIDE = 16
 # Vectors kept beyond K until scores are worked out again in one fixed order of summation.
 SLACK = 12
 TREE = "shard long, n long, vectors binary, ids binary, id_ends binary, nodes binary"
@@ -178,7 +182,12 @@ def _walk(k: int, factor: float):
                 found = found[found["query_id"] != found["vec_id"]]
                 found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
                 out.append(found.groupby("query_id", sort=False).head(k))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
+        if not out:
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
+        # Of all trees of the task, no query needs more than its best.
+        found = pd.concat(out, ignore_index=True)
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return found.groupby("query_id", sort=False).head(k)
 
     return run
 
@@ -214,10 +223,12 @@ def nearest(
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products of every query row.
 
     ``queries``: a condition on ``vec_id``. Every other row is a candidate, with equal vectors among them;
-    ties go to the smaller id. Blocks of queries meet every shard, and each pair of a block and a shard
-    is a task of bounded size. Rows that ``usable`` leaves out neither ask nor answer. Rows with the id of
-    the query are its own. Repeated query rows answer once. No usable row gives no result. Only vectors of
-    the query's length are candidates; each length has trees of its own.
+    ties go to the smaller id. Blocks of queries meet every shard; a task has one block and one shard, or, where there are
+    very many, up to 16 of each, so that a tree travels to 16 blocks at once and memory stays bounded. Rows that ``usable``
+    leaves out neither ask nor answer. Rows with the id of the query are its own. A query id asks once; of several
+    vectors with that id the smallest asks. Repeated candidate rows are candidates each, so an id may have several
+    ranks. No usable row gives no result. Only vectors of the query's length are candidates; each length has trees of
+    its own.
     """
     given = usable(vectors, id_col, vector_col)
     found = [_nearest(part, queries, k, factor) for part in by_width(given) or [given]]
@@ -230,14 +241,13 @@ def nearest(
 def _nearest(given: DataFrame, queries: Column, k: int, factor: float) -> DataFrame:
     """The best ``k`` of every shard for every query, all vectors of one length."""
     trees, shards = plant(given, k)
-    asked = given.where(queries).dropDuplicates(["vec_id"])
+    asked = given.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     packs = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     packs = packs.groupBy("block").applyInPandas(_gathered, "block long, ids binary, vectors binary")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    return (
-        trees.withColumn("block", every(blocks))
-        .groupBy("shard", "block")
-        .cogroup(packs.withColumn("shard", every(shards)).groupBy("shard", "block"))
-        .applyInPandas(_walk(k, factor), FOUND)
-    )
+    side = max(1, min(LONGEST_SIDE, isqrt(shards * blocks // PAIRS)))
+    group = lambda name: F.floor(F.col(name) / side)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // side).cast("long")))
+    sent = trees.withColumns({"at": group("shard"), "to": every(blocks)})
+    asking = packs.withColumns({"at": every(shards), "to": group("block")})
+    return sent.groupBy("at", "to").cogroup(asking.groupBy("at", "to")).applyInPandas(_walk(k, factor), FOUND)
