@@ -39,15 +39,13 @@ def listed(df):
     return sorted([text(x) for x in row] for row in df.select(*sorted(df.columns)).collect())
 
 
-@pytest.mark.parametrize("keys", [["g"], ["g", "h"], []])
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50])
+@pytest.mark.parametrize("keys, hot_rows", [(["g"], 50), (["g", "h"], 1_000_000), ([], 1_000_000)])
 def test_statistics(table, counts, keys, hot_rows):
-    for metric in ("v", "w"):
-        mine = counts.where(F.col("metric") == metric)
-        got = tm.count_stats(mine, keys, hot_rows=hot_rows).drop("metric")
-        assert listed(got) == listed(tm.value_stats(table, keys, metric))
-        points = tm.count_cdf(mine, keys, hot_rows).drop("metric")
-        assert listed(points) == listed(tm.cdf(table.withColumn(metric, F.col(metric) + 0.0), keys, metric))
+    mine = counts.where("metric = 'v'")
+    got = tm.count_stats(mine, keys, hot_rows=hot_rows).drop("metric")
+    assert listed(got) == listed(tm.value_stats(table, keys, "v"))
+    points = tm.count_cdf(mine, keys, hot_rows).drop("metric")
+    assert listed(points) == listed(tm.cdf(table.withColumn("v", F.col("v") + 0.0), keys, "v"))
 
 
 def test_histogram_and_merge(table, counts):
@@ -90,8 +88,9 @@ def traces(spark, seed, days):
     return frame.select("k", F.to_timestamp("day").alias("ts"), "trace_id", "hops").cache()
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 40])
-@pytest.mark.parametrize("cut", ["days", "random", "both", "equal times"])
+@pytest.mark.parametrize(
+    "cut, hot_rows", [("days", 1_000_000), ("random", 40), ("both", 1_000_000), ("both", 40), ("equal times", 40)]
+)
 def test_prevalence_appended(spark, tmp_path, cut, hot_rows):
     table = traces(spark, len(cut), 4 if cut == "equal times" else 25)
     day = F.dayofmonth("ts")

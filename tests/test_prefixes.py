@@ -48,8 +48,9 @@ def family(rng, count):
     return out
 
 
-@pytest.mark.parametrize("seed, count", [(1, 3), (2, 12), (3, 40), (4, 150), (5, 150)])
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+@pytest.mark.parametrize(
+    "seed, count, broadcast_rows", [(1, 3, 500_000), (2, 12, 0), (3, 40, 500_000), (4, 150, 0), (5, 150, 500_000)]
+)
 def test_random_prefixes(spark, seed, count, broadcast_rows):
     prefixes = [p for p in family(random.Random(seed), count) if seed % 2 or not p[0].endswith("/0")]
     asked = borders(prefixes)

@@ -36,3 +36,20 @@ def test_stored_tables_are_dropped(spark):
     assert session.drop_stored(spark) >= 2
     assert not any(map(os.path.exists, paths))
     assert spark.sparkContext.getCheckpointDir() == before
+
+
+def test_what_a_result_was_made_from_is_emptied(spark):
+    made = []
+
+    def make():
+        made.append(session.stored(spark.range(7), "first"))
+        made.append(session.stored(made[0].where("id > 2"), "second"))
+        return made[1].withColumn("double", made[1].id * 2)
+
+    kept = session.stored(spark.range(3), "other")
+    files = lambda table: [f.removeprefix("file:").replace("///", "/") for f in table.inputFiles()]
+    result = session.settled(spark, make, "result")
+    assert sorted(r.double for r in result.collect()) == [6, 8, 10, 12]
+    assert not any(os.path.exists(f) for table in made for f in files(table)) and kept.count() == 3
+    session.drop_stored(spark)
+    assert not any(os.path.exists(f) for f in files(result))

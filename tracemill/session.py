@@ -44,27 +44,27 @@ def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The table that ``make`` returns, stored; what making it has stored is emptied then.
-
-    A table is emptied by writing one without rows in its place.
-    """
+    """The table that ``make`` returns, stored; what making it has stored is emptied then."""
     before = len(_written)
     result = stored(make(), name, compact=True)
     for path in _written[before:-1]:
-        spark.range(0).write.mode("overwrite").parquet(path)
+        _empty(spark, path)
     _written[before:-1] = []
     return result
 
 
+def _empty(spark: SparkSession, path: str) -> None:
+    """Free what a table takes, by writing one without rows in its place."""
+    spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def drop_stored(spark: SparkSession) -> int:
-    """Delete what ``scratch_path`` and ``stored`` have made in this process; returns how many paths.
+    """Empty what ``scratch_path`` and ``stored`` have made in this process; returns how many paths.
 
     Call it when the results that read these tables have been written.
     """
-    context = spark.sparkContext
     for path in _written:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        _empty(spark, path)
     dropped = len(_written)
     _written.clear()
     return dropped
