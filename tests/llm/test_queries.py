@@ -39,8 +39,8 @@ def test_columns(spark, sf, name):
 @pytest.mark.parametrize("name", ["op9_fixity", "op11_filters", "op12_planes", "op13_radix"])
 def test_against_sql(spark, sf, name):
     db = duckdb.connect()
-    for name in TABLES:
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for table in TABLES:
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     result = db.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     df = entry.queries()[name](spark, sf)
