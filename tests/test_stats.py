@@ -1,4 +1,6 @@
 import bisect
+import contextlib
+import io
 import itertools
 import math
 import random
@@ -189,3 +191,56 @@ def test_without_keys(table, groups):
     row = tm.percentiles(table, [], "v").first()
     assert row.n == len(everything)
     assert [row[f"p{p}"] for p in PERCENTILES] == [points(everything)[p][1] for p in PERCENTILES]
+
+
+def _traces(spark, n=600):
+    """Label traces with few, many and missing values a key."""
+    return spark.range(n).selectExpr(
+        "CAST(id AS STRING) AS trace_id",
+        "CAST(2008 + id % 2 AS INT) AS year",
+        "CASE WHEN id % 11 < 10 THEN CAST(id % 37 AS STRING) END AS from_ip",
+        "CAST(id % 3 AS STRING) AS dst",
+        "transform(sequence(0, 1 + CAST(id % 3 AS INT)), k -> CAST((id * k) % 7 AS STRING)) AS hops",
+        "transform(sequence(0, 2 + 2 * CAST(id % 3 AS INT)), k -> CAST((id * 7 + k) % 50 AS DOUBLE)) AS segment_lats",
+        "CAST(2 + id % 3 AS INT) AS num_hops",
+        "CAST(3 + id % 5 AS INT) AS raw_hops",
+        "CAST(id * 13 % 101 AS DOUBLE) AS e2e",
+        "CAST(id % 100 AS DOUBLE) AS inside_pct",
+    )
+
+
+def _plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+def _rows(df):
+    return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in row]) for row in df.select(*sorted(df.columns)).collect())
+
+
+REPORTS = {
+    # Values: six metrics of 600 rows.
+    "edge_stats": (3600, tm.edge_stats),
+}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_tasks_grow_with_the_values(spark, monkeypatch, name):
+    values, report = REPORTS[name]
+    traces = _traces(spark)
+    want = _rows(report(traces))
+    assert len(want) > 30
+    monkeypatch.setattr(stats, "VALUES_A_TASK", 100)
+    got = report(traces)
+    assert f", {values // 100}), REPARTITION_BY_NUM" in _plan(got)
+    assert _rows(got) == want
+    assert _rows(report(traces.limit(0))) == []
+
+
+def test_groups_are_summed_in_the_order_of_their_ranks(spark):
+    """Beside the two hash tables that count equal values there is none, and no second sort of all rows."""
+    ranks = stats._cold_ranks(stats._together(_traces(spark).selectExpr("year", "dst AS metric", "e2e AS value"), ["year", "metric"], tasks=3), ["year", "metric"])
+    plan = _plan(stats._summary(ranks, stats.small_group_points(spark), ["year", "metric"]))
+    assert (plan.count("HashAggregate("), plan.count("SortAggregate("), plan.count("Sort [")) == (2, 2, 1), plan

@@ -33,6 +33,8 @@ BUCKETS_PER_DOUBLING = 4096
 HOT_ROWS = 1_000_000
 # So many hot keys are broadcast at most.
 HOT_KEYS = 100_000
+# Values that one task counts, ranks and sums, where it is known how many there are.
+VALUES_A_TASK = 500_000
 
 
 def coefficient_of_variation(avg: Column, stdev: Column) -> Column:
@@ -145,9 +147,20 @@ def split_hot(
     return df.join(found, same, "left_anti"), df.join(found, same, "left_semi")
 
 
-def _together(df: DataFrame, keys: Sequence[str], placed: bool = False) -> DataFrame:
-    """All rows of a key in one partition: the one exchange that counting, ranking and summing need. ``placed``: they are."""
-    return df if placed or not keys else df.repartition(*keys)
+def tasks_for(values: int) -> int:
+    """Tasks for so many values. Their number grows with the table, so that the memory of one does not."""
+    return max(1, -(-values // VALUES_A_TASK))
+
+
+def _together(df: DataFrame, keys: Sequence[str], placed: bool = False, tasks: int | None = None) -> DataFrame:
+    """All rows of a key in one partition: the one exchange that counting, ranking and summing need. ``placed``: they are.
+
+    ``tasks``: partitions, which stay as they are. Without it Spark joins small ones, by bytes that know nothing of the
+    metrics a row is multiplied by.
+    """
+    if placed or not keys:
+        return df
+    return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
 
 
 def _counted(rows: DataFrame, cell: Sequence[str], weight: str | None, least: str | None) -> DataFrame:
@@ -241,12 +254,15 @@ def _between(i: int, p: int) -> str:
 def _summary(
     ranked: DataFrame, points: DataFrame, groups: Sequence[str], min_count: int | None = None, least: str | None = None
 ) -> DataFrame:
-    """n, min, max, avg, stdev, cv, p25 ... p99 per group of ranked values. ``points``: of ``small_group_points``."""
+    """n, min, max, avg, stdev, cv, p25 ... p99 per group of ranked values. ``points``: of ``small_group_points``.
+
+    A struct among the results has Spark go through the groups in the order that ranking has left, with one group in
+    memory and not a table of all.
+    """
     enough = ranked if min_count is None else ranked.where(F.col("n") >= min_count)
     known = _with_points(enough, points, "hi")
     aggregates = [
-        "any_value(n) AS n",
-        "any_value(avg) AS avg",
+        "any_value(struct(n, avg)) AS whole",
         "min(value) AS min",
         "max(value) AS max",
         "sum(c * (value - avg) * (value - avg)) AS squares",
@@ -254,7 +270,7 @@ def _summary(
         *[_high(i, p) for i, p in enumerate(PERCENTILES)],
         *[_low(i, p) for i, p in enumerate(PERCENTILES)],
     ]
-    summary = known.groupBy(*groups).agg(*map(F.expr, aggregates))
+    summary = known.groupBy(*groups).agg(*map(F.expr, aggregates)).selectExpr("*", "whole.*").drop("whole")
     # Without groups an empty table has one row of NULLs.
     weighted = _with_points(summary.where("n IS NOT NULL"), points, "gap", "over")
     stdev = F.sqrt(F.col("squares") / F.col("n"))
@@ -299,11 +315,13 @@ def wide_stats(
     least: str | None = None,
     hot: DataFrame | None = None,
     placed: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per key with ``<metric>_<stat>`` of every metric; ``n`` is that of the first one.
 
     ``least`` names a column whose minimum comes along, also from the rows of the first metric. ``hot``: see
-    ``split_hot``. ``placed``: rows of a key are together already, as in a table bucketed by keys.
+    ``split_hot``. ``placed``: rows of a key are together already, as in a table bucketed by keys. ``tasks``: how many
+    bring them together, see ``tasks_for``.
 
     Rows of a key are brought together before they are multiplied by the metrics. Everything after works
     inside these partitions; only hot keys take further exchanges.
@@ -313,7 +331,7 @@ def wide_stats(
     cells = [cell for k, name in enumerate(metrics) for cell in (F.lit(name), F.col(f"_m{k}"))]
     stack = F.stack(F.lit(len(metrics)), *cells).alias("metric", "value")
     parts = split_hot(narrow, keys, hot_rows, hot)
-    cold = _together(parts[0], keys, placed).select(*carried, stack)
+    cold = _together(parts[0], keys, placed, tasks).select(*carried, stack)
     groups = [*keys, "metric"]
     ranks = [_cold_ranks(cold, groups, None, least), _hot_ranks(parts[1].select(*carried, stack), groups, None, least)]
     points = small_group_points(df.sparkSession)
@@ -333,21 +351,29 @@ def _as_wide(
 
 
 def _ranked(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int, weight: str | None
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int, weight: str | None, tasks: int | None = None
 ) -> list[DataFrame]:
     """Ranks of one column, of the keys that are not hot and of those that are."""
     rows = df.select(*keys, F.col(value).cast("double").alias("value"), *([weight] if weight else []))
     cold, hot = split_hot(rows, keys, hot_rows)
     hot_ranks = _hot_ranks(hot, keys, weight)
-    return [_cold_ranks(_together(cold, keys), keys, weight), hot_ranks] if keys else [hot_ranks]
+    return [_cold_ranks(_together(cold, keys, tasks=tasks), keys, weight), hot_ranks] if keys else [hot_ranks]
 
 
 def value_stats(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, weight: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    hot_rows: int = HOT_ROWS,
+    weight: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Per key: n, min, max, avg, stdev, cv and the six percentiles. ``weight``: a column that says how often a row counts."""
+    """Per key: n, min, max, avg, stdev, cv and the six percentiles. ``weight``: a column that says how often a row counts.
+
+    ``tasks``: how many bring the rows of a key together, see ``tasks_for``.
+    """
     points = small_group_points(df.sparkSession)
-    parts = [_summary(ranked, points, keys) for ranked in _ranked(df, keys, value, hot_rows, weight)]
+    parts = [_summary(ranked, points, keys) for ranked in _ranked(df, keys, value, hot_rows, weight, tasks)]
     return reduce(DataFrame.unionByName, parts)
 
 

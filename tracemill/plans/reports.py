@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import utc_year
 from tracemill.operators.paths import links, path_prevalence
-from tracemill.operators.stats import HOT_ROWS, hot_keys, moments, value_stats, wide_stats
+from tracemill.operators.stats import HOT_ROWS, hot_keys, moments, tasks_for, value_stats, wide_stats
 
 YEAR = ("year",)
 YEARS_AND_ALL = ("slice",)
@@ -165,7 +165,8 @@ def edge_stats(
         "last_inside": _share(F.size("segment_lats") - 1),
         "inside": F.col("inside_pct"),
     }
-    wide = wide_stats(label_traces, groups, metrics, hot_rows=hot_rows, least="num_hops", placed=placed)
+    tasks = None if placed else tasks_for(label_traces.count() * len(metrics))
+    wide = wide_stats(label_traces, groups, metrics, hot_rows=hot_rows, least="num_hops", placed=placed, tasks=tasks)
     return wide.where(F.col("num_hops") > 1).drop("num_hops")
 
 
