@@ -221,8 +221,9 @@ def _rows(df):
 
 
 REPORTS = {
-    # Values: six metrics of 600 rows.
+    # Values: six metrics of 600 rows; 1 to 3 links of each trace.
     "edge_stats": (3600, tm.edge_stats),
+    "link_stats": (1200, tm.link_stats),
 }
 
 

@@ -129,7 +129,9 @@ def link_stats(
 ) -> DataFrame:
     """Per directed link: n and statistics of the latency on it."""
     groups = [*by, "link_src", "link_dst"]
-    stats = value_stats(_in_slices(links(_with_year(label_traces)), by), groups, "lat", hot_rows)
+    steps = F.sum(F.greatest(F.col("num_hops") - 1, F.lit(0)))
+    tasks = tasks_for(_in_slices(_with_year(label_traces), by).agg(steps).first()[0] or 0)
+    stats = value_stats(_in_slices(links(_with_year(label_traces)), by), groups, "lat", hot_rows, tasks=tasks)
     return stats.withColumn("link", F.concat_ws(" ", "link_src", "link_dst"))
 
 
