@@ -221,9 +221,10 @@ def _rows(df):
 
 
 REPORTS = {
-    # Values: six metrics of 600 rows; 1 to 3 links of each trace.
+    # Values: six metrics of 600 rows; 1 to 3 links of each trace; three metrics.
     "edge_stats": (3600, tm.edge_stats),
     "link_stats": (1200, tm.link_stats),
+    "pair_stats": (1800, lambda lt: tm.pair_stats(lt, ("from_ip", "dst"), prevalence=False)),
 }
 
 

@@ -88,7 +88,8 @@ def pair_stats(
     groups = [*by, *keys]
     metrics = {"latency": F.col("e2e"), "hops": F.col("num_hops"), "raw_hops": F.col("raw_hops")}
     hot = hot_keys(label_traces, groups, hot_rows)
-    wide = wide_stats(label_traces, groups, metrics, min_count, hot=hot, placed=placed)
+    tasks = None if placed else tasks_for(label_traces.count() * len(metrics))
+    wide = wide_stats(label_traces, groups, metrics, min_count, hot=hot, placed=placed, tasks=tasks)
     if not prevalence:
         return wide
     paths = path_prevalence(label_traces, groups, hot_rows, hot, placed)
